@@ -62,17 +62,17 @@ def batch_rows(df: DataFrame, size: int, scope: Sequence[str], index: str,
             .withColumn(name, F.floor(F.col(name) / size)))
 
 
-def number_file_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
+def number_file_lines(lines: DataFrame, name: str = "line_no", file: str = "file") -> DataFrame:
     """Dense 0-based line numbers per file from ``(file, block, line_id)`` rows.
 
     A block is one split of a file, so a long file is numbered by many tasks.
     """
-    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("_lines"))
-    chain = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select("file", "block",
+    blocks = lines.groupBy(file, "block").agg(F.count("*").alias("_lines"))
+    chain = Window.partitionBy(file).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select(file, "block",
                           F.coalesce(F.sum("_lines").over(chain), F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy("file", "block").orderBy("line_id"))
-    return (lines.withColumn(name, local).join(bases, ["file", "block"])
+    local = F.row_number().over(Window.partitionBy(file, "block").orderBy("line_id"))
+    return (lines.withColumn(name, local).join(bases, [file, "block"])
             .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base"))
 
 

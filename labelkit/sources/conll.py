@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelkit.functions.tags import map_types
 from labelkit.functions.text import is_blank
+from labelkit.operators.joins import positional_zip
 from labelkit.operators.numbering import number_file_lines, number_lines, sentence_boundaries
 from labelkit.schemas import LAYOUTS, Layout
 
@@ -17,7 +18,7 @@ _CSV_SCHEMA = "f0 string, f1 string, f2 string, f3 string, f4 string"
 
 def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = False,
                glob: str | None = None) -> DataFrame:
-    """Lines with their file, the start of their split (``block``) and an id rising within it."""
+    """Lines with their file, their split of it (``block``) and an id rising within the split."""
     reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -25,7 +26,8 @@ def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = Fal
     return lines.select(
         *[c for c in lines.columns if c != "value"],
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.struct(F.col("_metadata.file_path").alias("part"),
+                 F.col("_metadata.file_block_start").alias("start")).alias("block"),
         F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
 
 
@@ -196,15 +198,25 @@ def read_annotations(docs: DataFrame, doc: str = "member", text: str = "text") -
             .agg(F.max_by(F.get("_f", F.lit(2)), "line_no").alias("type")))
 
 
-def read_parallel_text(spark: SparkSession, path: str, left: str = ".sentences.txt",
-                       right: str = ".ner_tags.txt") -> DataFrame:
-    """Sentence and tag files of one base name, paired line by line and token by token."""
-    from labelkit.operators.joins import positional_zip
+def file_base(suffix: str) -> Column:
+    """Name of a ``file`` without its suffix; null for other files."""
+    return F.when(F.col("file").endswith(suffix),
+                  F.left("file", F.length("file") - len(suffix)))
 
-    lines = number_file_lines(read_lines(spark, path, recursive=True))
 
-    def side(suffix: str) -> DataFrame:
-        return lines.where(F.col("file").endswith(suffix)).withColumn(
-            "base", F.left("file", F.length("file") - len(suffix)))
+def read_parallel_text(spark: SparkSession, sentences: str, tags: str,
+                       sentence_base: Column | None = None,
+                       tag_base: Column | None = None) -> DataFrame:
+    """Sentence and tag files of one base, paired line by line and token by token.
 
-    return positional_zip(side(left), side(right))
+    The parts of a base, if it has several, follow one another in name order.
+    """
+
+    def side(path: str, base: Column) -> DataFrame:
+        lines = read_lines(spark, path).withColumn("file", base)
+        return number_file_lines(lines.where(F.col("file").isNotNull())
+                                 .withColumnRenamed("file", "base"), file="base")
+
+    left = file_base(".sentences.txt") if sentence_base is None else sentence_base
+    right = file_base(".ner_tags.txt") if tag_base is None else tag_base
+    return positional_zip(side(sentences, left), side(tags, right))
