@@ -97,7 +97,9 @@ def label_vocabulary(sentences: DataFrame, tags: str = "tags") -> Column:
 def encode_with_vocabulary(sentences: DataFrame, train: DataFrame, tags: str = "tags",
                            name: str = "label_ids") -> DataFrame:
     """Tags to ids learned from ``train``; a tag not seen there is ignored."""
-    return sentences.withColumn(name, encode_labels(F.col(tags), label_vocabulary(train, tags)))
+    # a subquery is not allowed inside a lambda, so the vocabulary is a column for a moment
+    return (sentences.withColumn("_names", label_vocabulary(train, tags))
+            .withColumn(name, encode_labels(F.col(tags), F.col("_names"))).drop("_names"))
 
 
 def pad_length(df: DataFrame, array: str) -> Column:
