@@ -13,7 +13,8 @@ VOTE_THRESHOLD = 0.7
 
 def tag_type(tag: Column) -> Column:
     """Type of a BIO tag; a tag without a prefix is its own type."""
-    return F.regexp_replace(tag, "^[^-]*-", "")
+    return F.when(F.substring(tag, 2, 1) == "-", F.substring(tag, F.lit(3), F.length(tag))
+                  ).otherwise(tag)
 
 
 def _opens(tags: Column, tag: Column, i: Column) -> Column:

@@ -39,8 +39,14 @@ def split_rule(doc_id: Column) -> Column:
             .otherwise("train"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Shares a small input among all cores; one with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.col("lang").alias("corpus"), split_rule(F.col("doc_id")).alias("split"),
         F.col("source").alias("archive"), "text")
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from labelkit.plans import tag_queries, text_queries  # noqa: F401
+from labelkit.plans import span_queries, tag_queries, text_queries  # noqa: F401
 from labelkit.plans.registry import ORACLES, QUERIES  # noqa: F401
