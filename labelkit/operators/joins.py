@@ -1,7 +1,7 @@
 """Joins between tokens, spans, dictionaries and paired files.
 
-No side is broadcast by hint: every side here can grow with the corpus, and adaptive
-execution broadcasts one whose measured size allows it.
+Sides that grow with the corpus are not broadcast by hint: adaptive execution does so
+where the measured size allows it.
 """
 
 from __future__ import annotations
@@ -94,8 +94,16 @@ def project_spans(words: DataFrame, spans: DataFrame, keys: Sequence[str] = ("se
             .withColumn("tag", F.coalesce("tag", F.lit("O"))))
 
 
-def label_lookup(df: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
-    """Rows with the name of their label id."""
+def label_lookup(df: DataFrame, labels: DataFrame, key: str = "id",
+                 small: int = 10_000) -> DataFrame:
+    """Rows with the name of their label id.
+
+    One id, often that of ``O``, may stand in most rows, so rows are not shuffled by
+    id while the label table, whose size is checked, is small enough to send round;
+    beyond that adaptive execution splits the hot ids.
+    """
+    if labels.limit(small + 1).count() <= small:
+        labels = F.broadcast(labels)
     return df.join(labels, key)
 
 

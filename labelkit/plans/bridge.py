@@ -126,6 +126,13 @@ def word_rows(spark: SparkSession, sf: str) -> DataFrame:
     ).select("doc_id", "sent_no", "pos", "_w.token", "_w.start", "_w.end")
 
 
+def tagged_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Tagged sentences ``corpus, split, doc_id, sent_no, tokens, tags`` without a number."""
+    return (doc_sentences(spark, sf).where(F.size("words") > 0)
+            .select("corpus", "split", "doc_id", "sent_no", F.col("words").alias("tokens"),
+                    gold_tags(F.col("words")).alias("tags")))
+
+
 def corpus_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Tagged sentences ``corpus, split, sentence_id, doc_id, tokens, tags``.
 

@@ -19,7 +19,8 @@ from labelkit.operators import union_corpora as union
 from labelkit.operators import union_eval_splits as eval_union
 from labelkit.operators import unpaired_files as unpaired
 from labelkit.plans.bridge import (corpus_sentences, doc_sentences, documents, gold_tags,
-                                   page_xml, rule_annotators, scratch, table, token_type)
+                                   page_xml, rule_annotators, scratch, table, tagged_sentences,
+                                   token_type)
 from labelkit.plans.labelling import label_documents, labelled_lines
 from labelkit.plans.registry import ORACLES, QUERIES, query
 from labelkit.plans.span_queries import _rule_chain
@@ -93,42 +94,46 @@ def _batch_rows(spark, sf):
         "corpus", "split", "sentence_id", "batch")
 
 
-@query("""SELECT archive, doc_id, i - 1 AS i, sum(opens) OVER (PARTITION BY archive
+def _archive_lines(spark, sf, lines):
+    """``lines`` of every document, written and read as one file in parts per archive."""
+    path = scratch(spark, "lines")
+    (documents(spark, sf).repartitionByRange("archive", "doc_id")
+     .sortWithinPartitions("archive", "doc_id").select("archive", lines.alias("value"))
+     .write.partitionBy("archive").text(path))
+    return conll.read_lines(spark, path).withColumn("file", F.col("archive"))
+
+
+@query("""SELECT archive, sum(opens) OVER (PARTITION BY archive
         ORDER BY doc_id, i) - 1 AS sentence_id, line
     FROM (SELECT *, (line <> '' AND coalesce(lag(line) OVER (PARTITION BY archive
             ORDER BY doc_id, i), '') = '')::INT AS opens
         FROM (SELECT archive, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
-            FROM (SELECT archive, doc_id, list_append(string_split(replace(text, '. ',
-                chr(10) || chr(10)), chr(10)), '') AS lines FROM docs)))
+            FROM (SELECT archive, doc_id, string_split(replace(text, '. ',
+                chr(10) || chr(10)), chr(10)) AS lines FROM docs)))
     QUALIFY line <> ''""")
 def sentence_boundaries(spark, sf):
-    """Lines of each archive numbered by sentence; documents stand in for file splits."""
-    lines = F.split(F.replace(F.col("text"), F.lit(". "), F.lit("\n\n")), "\n")
-    rows = documents(spark, sf).select(
-        F.col("archive").alias("file"), F.col("doc_id").alias("block"),
-        F.posexplode(F.concat(lines, F.array(F.lit("")))).alias("line_id", "line"))
-    return boundaries(rows, F.col("line") == "").select(
-        F.col("file").alias("archive"), F.col("block").alias("doc_id"),
-        F.col("line_id").alias("i"), "sentence_id", "line")
+    """Lines of each archive numbered by sentence, across its parts and splits."""
+    lines = _archive_lines(spark, sf, F.replace("text", F.lit(". "), F.lit("\n\n")))
+    return boundaries(lines, F.col("line") == "").select("archive", "sentence_id", "line")
 
 
 @query("""SELECT corpus, split, min(n) AS min_length, max(n) AS max_length,
     floor(median(n))::BIGINT AS median_length FROM ctags GROUP BY corpus, split""")
 def length_stats(spark, sf):
-    return lengths(corpus_sentences(spark, sf), by=["corpus", "split"])
+    return lengths(tagged_sentences(spark, sf), by=["corpus", "split"])
 
 
 @query("""SELECT corpus, least(512, floor(max(n) * 0.5))::INT AS length FROM ctags
     WHERE split = 'train' GROUP BY corpus""")
 def truncation_length(spark, sf):
-    train = corpus_sentences(spark, sf).where(F.col("split") == "train")
+    train = tagged_sentences(spark, sf).where(F.col("split") == "train")
     return lengths(train, by=["corpus"]).select(
         "corpus", cut_length(F.col("max_length")).alias("length"))
 
 
 @query("SELECT corpus, split, count(*) AS n_sentences FROM corp GROUP BY corpus, split")
 def split_sizes(spark, sf):
-    return sizes(corpus_sentences(spark, sf))
+    return sizes(tagged_sentences(spark, sf))
 
 
 def _dialogues(spark, sf):
@@ -391,9 +396,8 @@ def read_label_encoded(spark, sf):
                        L.join_tokens(F.col("tags")).alias("tags"))
 
 
-def _zipped(spark, sf, name):
+def _zipped(spark, sf, path):
     """Documents as page XML members of one zip archive per source."""
-    path = scratch(spark, name)
     docs = documents(spark, sf).select(
         F.concat("archive", F.lit(".zip")).alias("archive"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".xml")).alias("member"),
@@ -410,7 +414,7 @@ def _archive_name(path):
     array_to_string(lines, ' ') AS text FROM pages_text""")
 def read_archives(spark, sf):
     """Zip archives of page XML: written, unpacked by many tasks, text taken out."""
-    docs = archives.read_archives(spark, _zipped(spark, sf, "zip"), check_xml=True)
+    docs = archives.read_archives(spark, _zipped(spark, sf, scratch(spark, "zip")), check_xml=True)
     return docs.select(_archive_name("archive").alias("archive"), "member",
                        F.col("well_formed").cast("int").alias("well_formed"),
                        L.page_xml_text(F.col("text")).alias("text"))
@@ -419,22 +423,20 @@ def read_archives(spark, sf):
 @query("SELECT archive, doc_id || '.xml' AS member FROM docs WHERE doc_id::VARCHAR LIKE '%1'")
 def read_archives_recursive(spark, sf):
     """Archives found below a folder, members chosen by pattern."""
-    path = _zipped(spark, sf, "tree/deep")
-    docs = archives.read_archives(spark, path.rsplit("/", 1)[0], recursive=True,
-                                  member_glob="*1.xml")
-    return docs.where(F.col("archive").contains(path.rsplit("/", 1)[1])).select(
-        _archive_name("archive").alias("archive"), "member")
+    path = scratch(spark, "tree")
+    _zipped(spark, sf, f"{path}/some/deep")
+    docs = archives.read_archives(spark, path, recursive=True, member_glob="*1.xml")
+    return docs.select(_archive_name("archive").alias("archive"), "member")
 
 
 def write_by_archive(spark, sf):
     """The labelling job written per archive, read back and its tags counted."""
-    path = scratch(spark, "labelled")
+    path, saved = scratch(spark, "labelled"), scratch(spark, "saved")
     docs = documents(spark, sf).select("archive", "doc_id", F.concat(
         F.col("doc_id").cast("string"), F.lit(".xml")).alias("member"), "text")
     lines = labelled_lines(label_documents(docs, rule_annotators), ["archive", "member"])
-    first = (F.col("sent_no") == 0) & (F.col("chunk_no") == 0)
-    archives.write_by_archive(lines.withColumn("index", F.when(first, 0).otherwise(1)), path,
-                              ["member", "sent_no", "chunk_no"])
+    lines.write.parquet(saved)
+    archives.write_by_archive(spark.read.parquet(saved), path, ["sent_no", "chunk_no"])
     tokens = conll.read_conll(spark, path, "infer2")
     tags = tokens.select("archive", F.explode("tags").alias("tag"))
     return tags.groupBy("archive", "tag").agg(F.count("*").alias("n"))
@@ -450,8 +452,6 @@ ORACLES["write_by_archive"] = _rule_chain("""SELECT archive, tag, count(*) AS n
         SELECT archive, doc_id, string_split(text, chr(10)) AS ls FROM docs))""",
        name="number_file_lines")
 def _number_file_lines(spark, sf):
-    """Lines numbered per archive; documents stand in for file splits."""
-    lines = documents(spark, sf).select(
-        F.col("archive").alias("file"), F.col("doc_id").alias("block"),
-        F.posexplode(F.split("text", "\n")).alias("line_id", "line"))
-    return number_file_lines(lines).select(F.col("file").alias("archive"), "line_no", "line")
+    """Lines numbered per archive, across its parts and splits."""
+    lines = _archive_lines(spark, sf, F.col("text"))
+    return number_file_lines(lines).select("archive", "line_no", "line")

@@ -8,7 +8,7 @@ from labelkit import functions as L
 from labelkit.operators import (drop_columns, encode_with_vocabulary, filter_tags, label_lookup,
                                 map_batched, pad_length)
 from labelkit.operators import distinct_labels as distinct
-from labelkit.plans.bridge import (corpus_sentences, doc_sentences, doc_tokens, documents,
+from labelkit.plans.bridge import (tagged_sentences, doc_sentences, doc_tokens, documents,
                                    gold_tags, model_tags, table, token_type)
 from labelkit.plans.registry import query
 from labelkit.schemas import BSNLP, BSNLP_TO_CANON, CANON, CNEC, MEDIEVAL, MEDIEVAL_CANON
@@ -114,9 +114,8 @@ def decode_labels(spark, sf):
     GROUP BY doc_id, sent_no""")
 def encode_labels(spark, sf):
     """Tags to ids of a vocabulary learned from the English train sentences."""
-    train = doc_sentences(spark, sf).where(
-        (F.col("split") == "train") & (F.col("corpus") == "en")).withColumn(
-        "tags", gold_tags(F.col("words")))
+    train = tagged_sentences(spark, sf).where(
+        (F.col("split") == "train") & (F.col("corpus") == "en"))
     encoded = encode_with_vocabulary(_sentences(spark, sf), train)
     return encoded.select("doc_id", "sent_no",
                           _text(F.col("label_ids").cast("array<string>")).alias("ids"))
@@ -254,13 +253,13 @@ def rename_label(spark, sf):
     FROM labels""", name="label_lookup")
 def _label_lookup(spark, sf):
     rows = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("id"))
-    names = spark.createDataFrame([(0, "low"), (1, "high")], "id int, name string")
+    names = spark.sql("SELECT * FROM VALUES (0, 'low'), (1, 'high') AS t(id, name)")
     return label_lookup(rows, names)
 
 
 @query("SELECT DISTINCT tag AS label FROM ctok WHERE split = 'train'")
 def distinct_labels(spark, sf):
-    return distinct(corpus_sentences(spark, sf).where(F.col("split") == "train"))
+    return distinct(tagged_sentences(spark, sf).where(F.col("split") == "train"))
 
 
 @query("SELECT doc_id, sent_no, pos, type FROM typed WHERE type IN ('p', 'g')",
