@@ -85,7 +85,11 @@ def evaluate_models(sentences: DataFrame, by: Sequence[str] = ("model", "dataset
                     pred: str = "pred", gold: str = "gold") -> DataFrame:
     """Every model on every dataset in one job: rows per type, and ``overall`` ones."""
     counts = metric_counts(sentences, by, pred, gold)
-    columns = [*by, "type", "tp", "n_pred", "n_gold", "precision", "recall", "f1", "accuracy"]
-    per_type = entity_prf_by_type(counts, by).withColumn("accuracy", F.lit(None).cast("double"))
-    overall = entity_prf_overall(counts, by).withColumn("type", F.lit("overall"))
-    return per_type.select(*columns).unionByName(overall.select(*columns))
+    # every small count row goes to its own type and to the overall row
+    kinds = F.explode(F.array_compact(F.array("type", F.lit("overall"))))
+    totals = (counts.select(*by, kinds.alias("type"), *COUNTS)
+              .groupBy(*by, "type").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    accuracy = F.when(F.col("type") == "overall", F.when(F.col("n_tokens") == 0, 0.0).otherwise(
+        F.try_divide("n_correct", "n_tokens")))
+    return _rates(totals).withColumn("accuracy", accuracy).select(
+        *by, "type", "tp", "n_pred", "n_gold", "precision", "recall", "f1", "accuracy")

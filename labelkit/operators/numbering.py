@@ -62,42 +62,57 @@ def batch_rows(df: DataFrame, size: int, scope: Sequence[str], index: str,
             .withColumn(name, F.floor(F.col(name) / size)))
 
 
-def number_file_lines(lines: DataFrame, name: str = "line_no", file: str = "file") -> DataFrame:
-    """Dense 0-based line numbers per file from ``(file, block, line_id)`` rows.
+# A block is one split of one part of a file. Lines are shuffled and sorted by this
+# compact key; names of files and parts are joined back from the few block rows.
+_BLOCK = ["_part", "start"]
 
-    A block is one split of a file, so a long file is numbered by many tasks.
+
+def _chain(per_file: Sequence[str]):
+    return Window.partitionBy(*per_file).orderBy("part", "start")
+
+
+_EARLIER = (Window.unboundedPreceding, -1)
+
+
+def number_file_lines(lines: DataFrame, name: str = "line_no",
+                      per_file: Sequence[str] = ("file",)) -> DataFrame:
+    """Dense 0-based line numbers per file from ``file, part, start, line_id`` rows.
+
+    A long file is numbered by as many tasks as it has blocks. ``per_file`` names the
+    columns that are constant within a file.
     """
-    blocks = lines.groupBy(file, "block").agg(F.count("*").alias("_lines"))
-    chain = Window.partitionBy(file).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select(file, "block",
-                          F.coalesce(F.sum("_lines").over(chain), F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy(file, "block").orderBy("line_id"))
-    return (lines.withColumn(name, local).join(bases, [file, "block"])
-            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base"))
+    keyed = lines.withColumn("_part", F.xxhash64("part"))
+    blocks = keyed.groupBy(*_BLOCK, "part", *per_file).agg(F.count("*").alias("_lines"))
+    before = F.sum("_lines").over(_chain(per_file).rowsBetween(*_EARLIER))
+    bases = blocks.select(*_BLOCK, *per_file, F.coalesce(before, F.lit(0)).alias("_base"))
+    local = F.row_number().over(Window.partitionBy(*_BLOCK).orderBy("line_id"))
+    return (keyed.drop("part", *per_file).withColumn(name, local).join(bases, _BLOCK)
+            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base", "_part"))
 
 
-def sentence_boundaries(lines: DataFrame, boundary: Column,
-                        name: str = "sentence_id") -> DataFrame:
-    """Token lines of ``(file, block, line_id, ...)`` with a dense sentence number per file.
+def sentence_boundaries(lines: DataFrame, boundary: Column, name: str = "sentence_id",
+                        per_file: Sequence[str] = ("file",)) -> DataFrame:
+    """Token lines of ``file, part, start, line_id, ...`` with a dense sentence number per file.
 
     A sentence is a run of lines without a boundary. Runs are counted inside each
-    block; a block whose first line goes on with the sentence the block before
-    it left open does not count that run again.
+    block; a block whose first line goes on with the sentence the block before it
+    left open does not count that run again. ``block_no`` orders the blocks of a file.
     """
-    window = Window.partitionBy("file", "block").orderBy("line_id")
-    marked = lines.withColumn("_word", ~boundary)
+    window = Window.partitionBy(*_BLOCK).orderBy("line_id")
+    marked = lines.withColumn("_part", F.xxhash64("part")).withColumn("_word", ~boundary)
     opens = F.col("_word") & ~F.coalesce(F.lag("_word").over(window), F.lit(False))
     marked = (marked.withColumn("_opens", opens.cast("int"))
               .withColumn(name, F.sum("_opens").over(
                   window.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    blocks = marked.groupBy("file", "block").agg(
+    blocks = marked.groupBy(*_BLOCK, "part", *per_file).agg(
         F.max(name).alias("_runs"), F.min_by("_word", "line_id").alias("_first"),
         F.max_by("_word", "line_id").alias("_last"))
-    chain = Window.partitionBy("file").orderBy("block")
+    chain = _chain(per_file)
     goes_on = F.col("_first") & F.coalesce(F.lag("_last").over(chain), F.lit(False))
+    before = F.sum(F.col("_runs") - F.col("_goes_on")).over(chain.rowsBetween(*_EARLIER))
     bases = (blocks.withColumn("_goes_on", goes_on.cast("int"))
-             .withColumn("_before", F.coalesce(F.sum(F.col("_runs") - F.col("_goes_on")).over(
-                 chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-             .select("file", "block", (F.col("_before") - F.col("_goes_on")).alias("_base")))
-    return (marked.where("_word").drop("_word", "_opens").join(bases, ["file", "block"])
-            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base"))
+             .withColumn("_base", F.coalesce(before, F.lit(0)) - F.col("_goes_on"))
+             .select(*_BLOCK, *per_file, "_base", F.row_number().over(chain).alias("block_no")))
+    return (marked.where("_word").drop("part", *per_file, "_word", "_opens")
+            .join(bases, _BLOCK)
+            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base", "_part"))

@@ -1,7 +1,7 @@
 """Sentence, span and corpus tables derived from the given tables.
 
-The tables hold no labels, so fixed rules on a token's md5 stand in for gold types
-and for three annotators; the SQL side states the same rules.
+The tables hold no labels, so fixed rules on the digits of a token's md5 stand in for gold
+types and for three annotators; the SQL side states the same rules.
 """
 
 from __future__ import annotations
@@ -65,22 +65,26 @@ def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
         F.posexplode("words").alias("pos", "token"))
 
 
-def _digit(value: Column) -> Column:
-    return F.left(F.md5(value), F.lit(1))
+def _digit(digest: Column, place: int) -> Column:
+    return F.substring(digest, place, 1)
+
+
+def _type_at(digest: Column, place: int) -> Column:
+    return F.translate(_digit(digest, place), _DIGITS, _TYPES)
 
 
 def token_type(token: Column) -> Column:
-    return F.translate(_digit(token), _DIGITS, _TYPES)
+    return _type_at(F.md5(token), 1)
 
 
-def model_type(token: Column, model: int) -> Column:
-    changed = _digit(F.concat(token, F.lit(f"drop{model}"))) < "4"
-    return F.when(changed, token_type(F.concat(token, F.lit(str(model))))).otherwise(
-        token_type(token))
+def _model_type(digest: Column, model: int) -> Column:
+    """The annotator's own type where its first digit is below 4, else the gold type."""
+    return _type_at(F.when(_digit(digest, 2 + 3 * model) < "4", _digit(digest, 3 + 3 * model))
+                    .otherwise(digest), 1)
 
 
-def model_score(token: Column, model: int) -> Column:
-    return (F.instr(F.lit(_DIGITS), _digit(F.concat(token, F.lit(f"s{model}")))) - 1) / 15.0
+def _model_score(digest: Column, model: int) -> Column:
+    return (F.instr(F.lit(_DIGITS), _digit(digest, 4 + 3 * model)) - 1) / 15.0
 
 
 def gold_tags(words: Column) -> Column:
@@ -88,27 +92,37 @@ def gold_tags(words: Column) -> Column:
 
 
 def model_tags(words: Column, model: int) -> Column:
-    return bio_from_types(F.transform(words, lambda w: model_type(w, model)))
+    return bio_from_types(F.transform(F.transform(words, F.md5),
+                                      lambda h: _model_type(h, model)))
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(joined_positions(words),
+                       lambda w: w.withField("digest", F.md5(w["token"])))
+
+
+def _pieces(hashed: Column, model: int) -> Column:
+    return F.transform(hashed, lambda w: F.struct(
+        _model_type(w["digest"], model).alias("label"),
+        _model_score(w["digest"], model).alias("score"),
+        w["start"].alias("start"), w["end"].alias("end"), w["token"].alias("piece")))
 
 
 def model_pieces(words: Column, model: int) -> Column:
     """Words as labelled, scored pieces of one annotator."""
-    return F.transform(joined_positions(words), lambda w: F.struct(
-        model_type(w["token"], model).alias("label"),
-        model_score(w["token"], model).alias("score"),
-        w["start"].alias("start"), w["end"].alias("end"), w["token"].alias("piece")))
+    return _pieces(_hashed(words), model)
 
 
 def model_spans(words: Column) -> Column:
     """Spans of all annotators over one array of words."""
 
-    def of(ws: Column, model: int) -> Column:
-        return F.transform(group_subword_entities(model_pieces(ws, model)), lambda s, i: F.struct(
+    def of(hashed: Column, model: int) -> Column:
+        return F.transform(group_subword_entities(_pieces(hashed, model)), lambda s, i: F.struct(
             F.lit(model).alias("model"), i.alias("ord"), s["start"].alias("start"),
             s["end"].alias("end"), s["word"].alias("word"), s["label"].alias("label"),
             F.round(s["score"], 6).alias("score")))
 
-    return let(words, lambda ws: F.concat(*[of(ws, m) for m in MODELS]))
+    return let(_hashed(words), lambda h: F.concat(*[of(h, m) for m in MODELS]))
 
 
 def rule_annotators(chunks: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def _archive_lines(spark, sf, lines):
     (documents(spark, sf).repartitionByRange("archive", "doc_id")
      .sortWithinPartitions("archive", "doc_id").select("archive", lines.alias("value"))
      .write.partitionBy("archive").text(path))
-    return conll.read_lines(spark, path).withColumn("file", F.col("archive"))
+    return conll.read_lines(spark, path).withColumn("file", F.col("archive")).drop("archive")
 
 
 @query("""SELECT archive, sum(opens) OVER (PARTITION BY archive
@@ -114,7 +114,8 @@ def _archive_lines(spark, sf, lines):
 def sentence_boundaries(spark, sf):
     """Lines of each archive numbered by sentence, across its parts and splits."""
     lines = _archive_lines(spark, sf, F.replace("text", F.lit(". "), F.lit("\n\n")))
-    return boundaries(lines, F.col("line") == "").select("archive", "sentence_id", "line")
+    return boundaries(lines, F.col("line") == "").select(
+        F.col("file").alias("archive"), "sentence_id", "line")
 
 
 @query("""SELECT corpus, split, min(n) AS min_length, max(n) AS max_length,
@@ -350,7 +351,7 @@ def convert_cnec_lines(spark, sf):
      .sortWithinPartitions("corpus", "doc_id")
      .select("corpus", F.translate("text", " ", "\t").alias("value"))
      .write.partitionBy("corpus").text(path))
-    lines = conll.read_lines(spark, path).withColumn("file", F.col("corpus"))
+    lines = conll.read_lines(spark, path).withColumn("file", F.col("corpus")).drop("corpus")
     return conll.convert_cnec_lines(lines).select(F.col("file").alias("corpus"), "line")
 
 
@@ -454,4 +455,5 @@ ORACLES["write_by_archive"] = _rule_chain("""SELECT archive, tag, count(*) AS n
 def _number_file_lines(spark, sf):
     """Lines numbered per archive, across its parts and splits."""
     lines = _archive_lines(spark, sf, F.col("text"))
-    return number_file_lines(lines).select("archive", "line_no", "line")
+    return number_file_lines(lines).select(
+        F.col("file").alias("archive"), "line_no", "line")

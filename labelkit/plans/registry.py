@@ -14,10 +14,10 @@ ORACLES: dict[str, str] = {}
 
 _HEX = "'0123456789abcdef','ppgiOOOOOOOOOOOO'"
 
-
-def _type(value: str) -> str:
-    return f"translate(substr(md5({value}),1,1),{_HEX})"
-
+# One annotator's type and score of a token, from the digits of ``h = md5(token)``.
+MODEL_TYPE = f"""translate(CASE WHEN substr(h, 2 + 3 * model, 1) < '4'
+    THEN substr(h, 3 + 3 * model, 1) ELSE substr(h, 1, 1) END, {_HEX})"""
+MODEL_SCORE = "(instr('0123456789abcdef', substr(h, 4 + 3 * model, 1)) - 1) / 15.0"
 
 # Shared parts of the SQL side; each may use those above it.
 PARTS = {
@@ -33,14 +33,12 @@ PARTS = {
     "placed": """SELECT *, s AS "start", s + length(token) AS "end" FROM (
         SELECT *, coalesce(sum(length(token) + 1) OVER (PARTITION BY doc_id, sent_no ORDER BY pos
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM tok)""",
-    "typed": f"SELECT *, {_type('token')} AS type FROM placed",
+    "typed": f"""SELECT *, md5(token) AS h, translate(substr(md5(token), 1, 1), {_HEX}) AS type
+        FROM placed""",
     "gold": """SELECT *, CASE WHEN type = 'O' THEN 'O'
         WHEN lag(type) OVER (PARTITION BY doc_id, sent_no ORDER BY pos) = type
         THEN 'I-' || type ELSE 'B-' || type END AS tag FROM typed""",
-    "voices": f"""SELECT * EXCLUDE (type), model, CASE WHEN
-        substr(md5(token || 'drop' || model), 1, 1) < '4'
-        THEN {_type("token || model")} ELSE type END AS type,
-        (instr('0123456789abcdef', substr(md5(token || 's' || model), 1, 1)) - 1) / 15.0 AS score
+    "voices": f"""SELECT * EXCLUDE (type), model, {MODEL_TYPE} AS type, {MODEL_SCORE} AS score
         FROM typed, (VALUES (0), (1), (2)) v(model)""",
     "said": """SELECT *, CASE WHEN type = 'O' THEN 'O'
         WHEN lag(type) OVER (PARTITION BY doc_id, sent_no, model ORDER BY pos) = type

@@ -24,7 +24,7 @@ from labelkit.plans.bridge import (MODELS, corpus_sentences, doc_sentences, doc_
                                    rule_annotators, span_rows, token_type, word_rows)
 from labelkit.plans.labelling import (chunk_rows, label_documents as label, label_sentences,
                                       labelled_documents, labelled_tokens, sentence_rows)
-from labelkit.plans.registry import query
+from labelkit.plans.registry import MODEL_SCORE, MODEL_TYPE, query
 from labelkit.plans.text_queries import CHUNK_FOLD, RULE_SENTENCES
 
 KEYS = ["doc_id", "sent_no"]
@@ -150,11 +150,11 @@ def segment_on_period(spark, sf):
                                                 .alias("tokens"))
 
 
-def _predicted(spark, sf):
+def _predicted(spark, sf, models=MODELS):
     """Gold and predicted tags of each annotator, one row per sentence and annotator."""
     sentences = doc_sentences(spark, sf).where(F.size("words") > 0)
     voices = F.array(*[F.struct(F.lit(m).alias("model"),
-                                model_tags(F.col("words"), m).alias("pred")) for m in MODELS])
+                                model_tags(F.col("words"), m).alias("pred")) for m in models])
     return (sentences.withColumn("gold", gold_tags(F.col("words")))
             .select(*KEYS, F.col("corpus").alias("dataset"), "gold", F.inline(voices)))
 
@@ -187,7 +187,7 @@ def _rounded(df):
 
 @query(f"SELECT type, {_SUMS}, {_RATES} FROM ({_COUNTED}) WHERE model = 0 GROUP BY type")
 def entity_prf_by_type(spark, sf):
-    rows = _predicted(spark, sf).where(F.col("model") == 0)
+    rows = _predicted(spark, sf, [0])
     return _rounded(prf_by_type(metric_counts(rows, [])))
 
 
@@ -218,8 +218,7 @@ def evaluate_models(spark, sf):
 @query(f"SELECT type, {_SUMS} FROM ({_COUNTED}) GROUP BY type", name="accumulate_metric")
 def _accumulate_metric(spark, sf):
     """Counts taken annotator by annotator, added up afterwards."""
-    rows = _predicted(spark, sf)
-    batches = [metric_counts(rows.where(F.col("model") == m), ["dataset"]) for m in MODELS]
+    batches = [metric_counts(_predicted(spark, sf, [m]), ["dataset"]) for m in MODELS]
     return accumulate_metric(*batches, by=[]).where(F.col("type").isNotNull()).select(
         "type", "tp", "n_pred", "n_gold")
 
@@ -277,17 +276,13 @@ _CHAIN = f"""
 
 def _chain_sql(tokens: str, keys: str, final: str) -> str:
     """Vote and projection over ``tokens``(keys, chunk, pos, token); ``final`` reads ``tagged``."""
-    hexes = "'0123456789abcdef','ppgiOOOOOOOOOOOO'"
     on = f"{keys}, chunk"
     return f"""
     spot AS (SELECT *, s AS b, s + length(token) AS e FROM (SELECT *, coalesce(sum(length(token) + 1)
         OVER (PARTITION BY {on} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
         0)::BIGINT AS s FROM {tokens})),
-    heard AS (SELECT *, CASE WHEN substr(md5(token || 'drop' || model), 1, 1) < '4'
-        THEN translate(substr(md5(token || model), 1, 1), {hexes})
-        ELSE translate(substr(md5(token), 1, 1), {hexes}) END AS type,
-        (instr('0123456789abcdef', substr(md5(token || 's' || model), 1, 1)) - 1) / 15.0 AS score
-        FROM spot, (VALUES (0), (1), (2)) v(model)),
+    heard AS (SELECT *, {MODEL_TYPE} AS type, {MODEL_SCORE} AS score
+        FROM (SELECT *, md5(token) AS h FROM spot), (VALUES (0), (1), (2)) v(model)),
     runs AS (SELECT *, sum(opens) OVER (PARTITION BY {on}, model ORDER BY pos) AS run FROM (
         SELECT *, (type <> coalesce(lag(type) OVER (PARTITION BY {on}, model ORDER BY pos), ''))::INT
             AS opens FROM heard)),

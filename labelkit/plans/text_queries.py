@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from labelkit import functions as L
 from labelkit.functions.text import ABBREVIATIONS
-from labelkit.operators import conll_to_tokens, filter_blank, filter_min_fields, tags_of_lines
+from labelkit.operators import conll_to_tokens as block_tokens
+from labelkit.operators import filter_blank, filter_min_fields, tags_of_lines
 from labelkit.operators.stats import count_tags, count_tags_total
 from labelkit.plans.bridge import (doc_sentences, doc_tokens, documents, gold_tags, page_xml,
                                    table, token_type)
@@ -177,9 +178,9 @@ def tags_from_lines(spark, sf):
         FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (
             SELECT doc_id, string_split(text, chr(10)) AS lines FROM docs))))
     WHERE true QUALIFY NOT blank) WHERE NOT head""")
-def conll_to_tokens_raw(spark, sf):
+def conll_to_tokens(spark, sf):
     """Every line of a document read as a token line, its first two words as the fields."""
-    return conll_to_tokens(documents(spark, sf).select("doc_id", "text"))
+    return block_tokens(documents(spark, sf).select("doc_id", "text"))
 
 
 @query("""SELECT archive || '/' || doc_id || '.conll' AS name,

@@ -18,19 +18,28 @@ _CSV_SCHEMA = "f0 string, f1 string, f2 string, f3 string, f4 string"
 
 def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = False,
                glob: str | None = None) -> DataFrame:
-    """Lines with their file, their split of it (``block``) and an id rising within the split."""
+    """Rows ``file, part, start, line_id, line``, and folder columns such as ``split``.
+
+    ``start`` is where the split of the file begins that a line was read from,
+    ``line_id`` rises within it. A file has one part, itself; a caller that
+    takes several as one renames ``file`` only.
+    """
     reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     lines = reader.text(path)
     return lines.select(
         *[c for c in lines.columns if c != "value"],
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_path").alias("part"),
-                 F.col("_metadata.file_block_start").alias("start")).alias("block"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("part"),
+        F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
 
 
+def _folders(lines: DataFrame) -> list[str]:
+    return [c for c in lines.columns
+            if c not in ("file", "part", "start", "line_id", "line")]
+
+
 def assign_split(path: Column) -> Column:
     """Split a file belongs to, told by its name; ``dev`` is the validation split."""
     name = F.element_at(F.split(path, "/"), -1)
@@ -52,9 +61,12 @@ def _fields(line: Column, layout: Layout) -> Column:
     return F.split(line, layout.sep)
 
 
+def _body(lines: DataFrame, layout: Layout) -> DataFrame:
+    """Lines without the header, wherever a part repeats it."""
+    return lines.where(F.col("line") != layout.header) if layout.header else lines
+
+
 def _parsed(lines: DataFrame, layout: Layout) -> DataFrame:
-    if layout.header:
-        lines = lines.where(F.col("line") != layout.header)
     return lines.withColumn("_f", _fields(F.col("line"), layout))
 
 
@@ -74,16 +86,17 @@ def read_conll(spark: SparkSession, path: str | list[str], layout: str,
     """
     spec = LAYOUTS[layout]
     lines = read_lines(spark, path, recursive)
-    folders = [c for c in lines.columns if c not in ("file", "block", "line_id", "line")]
-    rows = sentence_boundaries(_parsed(lines, spec), is_boundary(F.col("line"), spec))
+    folders = _folders(lines)
+    rows = sentence_boundaries(_body(lines, spec), is_boundary(F.col("line"), spec),
+                               per_file=["file", *folders])
     columns = {"tokens": F.get("_f", F.lit(spec.token)),
                "tags": F.rtrim(F.get("_f", F.lit(spec.tag)))}
     columns |= {name: F.get("_f", F.lit(at)) for name, at in spec.extras.items()}
     if spec.number is not None:
         columns["numbers"] = F.get("_f", F.lit(spec.number)).cast("bigint")
     ordered = F.sort_array(F.collect_list(F.struct(
-        "block", "line_id", *[c.alias(name) for name, c in columns.items()])))
-    sentences = (rows.where(_complete(spec)).groupBy("file", *folders, "sentence_id")
+        "block_no", "line_id", *[c.alias(name) for name, c in columns.items()])))
+    sentences = (_parsed(rows, spec).where(_complete(spec)).groupBy("file", *folders, "sentence_id")
                  .agg(ordered.alias("_s")))
     split = [] if "split" in folders else [assign_split(F.col("file")).alias("split")]
     return sentences.select("file", *folders, *split, "sentence_id",
@@ -93,8 +106,9 @@ def read_conll(spark: SparkSession, path: str | list[str], layout: str,
 def conll_rejects(spark: SparkSession, path: str | list[str], layout: str) -> DataFrame:
     """Token lines with too few fields: ``file, line_no, line``."""
     spec = LAYOUTS[layout]
-    lines = _parsed(number_file_lines(read_lines(spark, path)), spec)
-    return (lines.where(~is_boundary(F.col("line"), spec) & ~_complete(spec))
+    lines = read_lines(spark, path)
+    numbered = number_file_lines(lines, per_file=["file", *_folders(lines)])
+    return (_parsed(_body(numbered, spec), spec).where(~is_boundary(F.col("line"), spec) & ~_complete(spec))
             .select("file", "line_no", "line"))
 
 
@@ -213,9 +227,10 @@ def read_parallel_text(spark: SparkSession, sentences: str, tags: str,
     """
 
     def side(path: str, base: Column) -> DataFrame:
-        lines = read_lines(spark, path).withColumn("file", base)
-        return number_file_lines(lines.where(F.col("file").isNotNull())
-                                 .withColumnRenamed("file", "base"), file="base")
+        lines = read_lines(spark, path)
+        lines = lines.withColumn("file", base).drop(*_folders(lines))
+        return number_file_lines(lines.where(F.col("file").isNotNull())).withColumnRenamed(
+            "file", "base")
 
     left = file_base(".sentences.txt") if sentence_base is None else sentence_base
     right = file_base(".ner_tags.txt") if tag_base is None else tag_base
