@@ -28,7 +28,7 @@ def positions_where(values: Column, test: Callable[[Column, Column], Column]) ->
 
 def _fold_sums(block: Column) -> Column:
     return F.aggregate(block, F.array(F.lit(0)),
-                       lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+                       lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
 
 
 def running_sum(values: Column, widths: tuple[int, ...] = (16, 64)) -> Column:
@@ -36,10 +36,14 @@ def running_sum(values: Column, widths: tuple[int, ...] = (16, 64)) -> Column:
 
     Sums run inside blocks of ``widths[0]``, block totals in the same way with the
     next width, and are added afterwards: appending to one ever longer array
-    would copy it once per element.
+    would copy it once per element. A short array is one block.
     """
+
+    def single(v: Column) -> Column:
+        return F.slice(_fold_sums(v), F.lit(1), F.size(v))
+
     if not widths:
-        return let(values, lambda v: F.slice(_fold_sums(v), F.lit(1), F.size(v)))
+        return let(values, single)
     width, wider = widths[0], widths[1:]
 
     def in_blocks(v: Column) -> Column:
@@ -50,7 +54,8 @@ def running_sum(values: Column, widths: tuple[int, ...] = (16, 64)) -> Column:
             p, running_sum(F.transform(p, lambda x: F.element_at(x, -1)), wider),
             lambda x, base: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + base))))
 
-    return let(values, in_blocks)
+    return let(values, lambda v: F.when(F.size(v) <= 3 * width, single(v)).otherwise(
+        in_blocks(v)))
 
 
 def cut(values: Column, starts: Column) -> Column:

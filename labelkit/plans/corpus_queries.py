@@ -301,9 +301,10 @@ def _roundtrip(layout):
     spec = LAYOUTS[layout]
 
     def run(spark, sf):
-        sentences = corpus_sentences(spark, sf).withColumn(
+        path, saved = scratch(spark, layout), scratch(spark, "corpus")
+        corpus.write_corpus(corpus_sentences(spark, sf), saved)
+        sentences = corpus.read_corpus(spark, saved).withColumn(
             "lemmas", F.transform("tokens", F.lower))
-        path = scratch(spark, layout)
         per_document = ["corpus", "split", "doc_id"] if layout == "bsnlp3" else None
         conll.write_conll(sentences, path, layout, number_scope=per_document)
         back = conll.read_conll(spark, path, layout)

@@ -138,6 +138,24 @@ def conll_block(layout: Layout, first_no: Column | None = None) -> Column:
     return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 
+def _with_fields(sentences: DataFrame, spec: Layout, scope: Sequence[str], index: str,
+                 number_scope: Sequence[str] | None) -> DataFrame:
+    """Sentences with every array the layout writes, and the first token's number."""
+    extras = [] if spec.quoted else list(spec.extras)
+    for name in extras:
+        if name not in sentences.columns:
+            sentences = sentences.withColumn(name, F.transform("tokens", lambda _: F.lit("_")))
+    columns = [*scope, index, "tokens", "tags", *extras]
+    if spec.number is None:
+        return sentences.select(*columns)
+    return number_lines(sentences, number_scope or scope, index, spec.number_blanks,
+                        spec.number_base).select(*columns, "first_no")
+
+
+def _value(spec: Layout) -> Column:
+    return conll_block(spec, F.col("first_no") if spec.number is not None else None)
+
+
 def to_conll(sentences: DataFrame, layout: str, scope: Sequence[str] = ("corpus", "split"),
              index: str = "sentence_id", number_scope: Sequence[str] | None = None) -> DataFrame:
     """Rows ``scope, index, value`` with the text of each sentence in a layout.
@@ -146,16 +164,8 @@ def to_conll(sentences: DataFrame, layout: str, scope: Sequence[str] = ("corpus"
     orders the sentences of a scope.
     """
     spec = LAYOUTS[layout]
-    for name in spec.extras:
-        if name not in sentences.columns and not spec.quoted:
-            sentences = sentences.withColumn(
-                name, F.transform("tokens", lambda _: F.lit("_")))
-    if spec.number is not None:
-        sentences = number_lines(sentences, number_scope or scope, index,
-                                 spec.number_blanks, spec.number_base)
-        return sentences.select(*scope, index, conll_block(spec, F.col("first_no"))
-                                .alias("value"))
-    return sentences.select(*scope, index, conll_block(spec).alias("value"))
+    return _with_fields(sentences, spec, scope, index, number_scope).select(
+        *scope, index, _value(spec).alias("value"))
 
 
 def write_conll(sentences: DataFrame, path: str, layout: str,
@@ -165,15 +175,19 @@ def write_conll(sentences: DataFrame, path: str, layout: str,
 
     A sentence is one output row, so no task gathers a whole file; parts of a
     large scope are written by many tasks and follow one another in name order.
+    Range partitioning samples its input and numbering adds it up first: pass a saved
+    table where the sentences are costly to make.
     """
     spec = LAYOUTS[layout]
-    rows = to_conll(sentences.where(F.size("tokens") > 0), layout, scope, index, number_scope)
+    rows = _with_fields(sentences.where(F.size("tokens") > 0), spec, scope, index, number_scope)
+    value = _value(spec)
     if spec.header:
-        heads = rows.select(*scope).distinct().select(
-            *scope, F.lit(-1).cast("bigint").alias(index), F.lit(spec.header).alias("value"))
-        rows = rows.unionByName(heads)
+        heads = rows.select(*scope).distinct().withColumn(index, F.lit(-1).cast("bigint"))
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+        value = F.when(F.col(index) == -1, F.lit(spec.header)).otherwise(value)
+    # lines are made after the exchange, so that sampling does not make them as well
     (rows.repartitionByRange(*scope, index).sortWithinPartitions(*scope, index)
-     .select(*scope, "value").write.partitionBy(*scope).text(path))
+     .select(*scope, value.alias("value")).write.partitionBy(*scope).text(path))
 
 
 def write_token_csv(sentences: DataFrame, path: str, scope: Sequence[str] = ("split",),
