@@ -7,10 +7,14 @@ top-level totals of a scope meet in one window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 
 def running_offset(df: DataFrame, scope: Sequence[str], index: str, value: Column,
@@ -62,57 +66,104 @@ def batch_rows(df: DataFrame, size: int, scope: Sequence[str], index: str,
             .withColumn(name, F.floor(F.col(name) / size)))
 
 
-# A block is one split of one part of a file. Lines are shuffled and sorted by this
-# compact key; names of files and parts are joined back from the few block rows.
-_BLOCK = ["_part", "start"]
+# A block is one split of one part of a file, told by this compact key. Names are kept
+# out of the lines: ``files`` holds ``part_key, part, file`` and what else a file has.
+_BLOCK = ["part_key", "start"]
+_EARLIER = (Window.unboundedPreceding, -1)
+_MOST_SENT_ROUND = 2_000_000
 
 
-def _chain(per_file: Sequence[str]):
-    return Window.partitionBy(*per_file).orderBy("part", "start")
+def _count_in_blocks(lines: DataFrame, flag: str, name: str, runs: bool) -> DataFrame:
+    """Add the count of flagged rows, or of runs of them, so far in the row's block.
 
+    A scan task reads the lines of a block in order and together, so a pass over its
+    batches counts them where they are: a window would shuffle and sort every line.
+    """
 
-_EARLIER = (Window.unboundedPreceding, -1)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total, flagged = None, 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, start, flags = (batch.column(c).to_numpy(zero_copy_only=False)
+                                  for c in (*_BLOCK, flag))
+            opens_block = np.ones(len(flags), dtype=bool)
+            opens_block[1:] = (part[1:] != part[:-1]) | (start[1:] != start[:-1])
+            opens_block[0] = (part[0], start[0]) != block
+            counted = flags
+            if runs:
+                before = np.concatenate([[flagged], flags[:-1]])
+                counted = flags & ~(before & ~opens_block)
+            sums = np.cumsum(counted) + total
+            earlier = np.maximum.accumulate(np.where(opens_block, sums - counted, 0))
+            sums = sums - earlier
+            block, total, flagged = (part[-1], start[-1]), sums[-1], flags[-1]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(sums, pa.int64())], [*batch.schema.names, name])
+
+    schema = T.StructType([*lines.schema.fields, T.StructField(name, T.LongType())])
+    return lines.mapInArrow(count, schema)
+
+
+def _join_blocks(lines: DataFrame, bases: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines with what is known of their block.
+
+    There are at most as many blocks as files and read tasks; up to a limit the block rows,
+    a few numbers each, are sent round and no line is shuffled.
+    """
+    if lines.rdd.getNumPartitions() + files.count() <= _MOST_SENT_ROUND:
+        bases = F.broadcast(bases)
+    return lines.join(bases, _BLOCK)
+
+
+def _in_file_order(blocks: DataFrame, files: DataFrame) -> tuple[DataFrame, WindowSpec]:
+    """Block rows with a number for their file, and the order of a file's blocks."""
+    by_file = Window.partitionBy("file")
+    named = blocks.join(files.select("part_key", "part", "file"), "part_key")
+    return (named.withColumn("file_key", F.min("part_key").over(by_file)),
+            by_file.orderBy("part", "start"))
+
+
+def file_names(files: DataFrame) -> DataFrame:
+    """``file_key`` with the name and folders of each file."""
+    rest = [c for c in files.columns if c not in ("part_key", "part")]
+    return files.groupBy("file").agg(F.min("part_key").alias("file_key"), *[
+        F.first(c).alias(c) for c in rest if c != "file"]).select("file_key", *rest)
 
 
-def number_file_lines(lines: DataFrame, name: str = "line_no",
-                      per_file: Sequence[str] = ("file",)) -> DataFrame:
-    """Dense 0-based line numbers per file from ``file, part, start, line_id`` rows.
+def number_file_lines(lines: DataFrame, files: DataFrame, name: str = "line_no") -> DataFrame:
+    """Lines of ``read_lines`` with ``file_key`` and a dense 0-based number per file.
 
-    A long file is numbered by as many tasks as it has blocks. ``per_file`` names the
-    columns that are constant within a file.
+    A long file is numbered by as many tasks as it has blocks.
     """
-    keyed = lines.withColumn("_part", F.xxhash64("part"))
-    blocks = keyed.groupBy(*_BLOCK, "part", *per_file).agg(F.count("*").alias("_lines"))
-    before = F.sum("_lines").over(_chain(per_file).rowsBetween(*_EARLIER))
-    bases = blocks.select(*_BLOCK, *per_file, F.coalesce(before, F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy(*_BLOCK).orderBy("line_id"))
-    return (keyed.drop("part", *per_file).withColumn(name, local).join(bases, _BLOCK)
-            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base", "_part"))
+    keyed = lines.withColumn("_line", F.lit(True))
+    blocks, order = _in_file_order(
+        keyed.groupBy(*_BLOCK).agg(F.count("*").alias("_lines")), files)
+    before = F.sum("_lines").over(order.rowsBetween(*_EARLIER))
+    bases = blocks.select(*_BLOCK, "file_key", F.coalesce(before, F.lit(0)).alias("_base"))
+    counted = _count_in_blocks(keyed, "_line", name, runs=False)
+    return (_join_blocks(counted, bases, files)
+            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base", "_line"))
 
 
-def sentence_boundaries(lines: DataFrame, boundary: Column, name: str = "sentence_id",
-                        per_file: Sequence[str] = ("file",)) -> DataFrame:
-    """Token lines of ``file, part, start, line_id, ...`` with a dense sentence number per file.
+def sentence_boundaries(lines: DataFrame, files: DataFrame, boundary: Column,
+                        name: str = "sentence_id") -> DataFrame:
+    """Token lines of ``read_lines`` with ``file_key`` and a dense sentence number per file.
 
     A sentence is a run of lines without a boundary. Runs are counted inside each
     block; a block whose first line goes on with the sentence the block before it
     left open does not count that run again. ``block_no`` orders the blocks of a file.
     """
-    window = Window.partitionBy(*_BLOCK).orderBy("line_id")
-    marked = lines.withColumn("_part", F.xxhash64("part")).withColumn("_word", ~boundary)
-    opens = F.col("_word") & ~F.coalesce(F.lag("_word").over(window), F.lit(False))
-    marked = (marked.withColumn("_opens", opens.cast("int"))
-              .withColumn(name, F.sum("_opens").over(
-                  window.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    blocks = marked.groupBy(*_BLOCK, "part", *per_file).agg(
+    marked = lines.withColumn("_word", ~boundary)
+    counted = _count_in_blocks(marked.select(*_BLOCK, "line_id", "_word"), "_word", name, True)
+    blocks, order = _in_file_order(counted.groupBy(*_BLOCK).agg(
         F.max(name).alias("_runs"), F.min_by("_word", "line_id").alias("_first"),
-        F.max_by("_word", "line_id").alias("_last"))
-    chain = _chain(per_file)
-    goes_on = F.col("_first") & F.coalesce(F.lag("_last").over(chain), F.lit(False))
-    before = F.sum(F.col("_runs") - F.col("_goes_on")).over(chain.rowsBetween(*_EARLIER))
+        F.max_by("_word", "line_id").alias("_last")), files)
+    goes_on = F.col("_first") & F.coalesce(F.lag("_last").over(order), F.lit(False))
+    before = F.sum(F.col("_runs") - F.col("_goes_on")).over(order.rowsBetween(*_EARLIER))
     bases = (blocks.withColumn("_goes_on", goes_on.cast("int"))
              .withColumn("_base", F.coalesce(before, F.lit(0)) - F.col("_goes_on"))
-             .select(*_BLOCK, *per_file, "_base", F.row_number().over(chain).alias("block_no")))
-    return (marked.where("_word").drop("part", *per_file, "_word", "_opens")
-            .join(bases, _BLOCK)
-            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base", "_part"))
+             .select(*_BLOCK, "file_key", "_base", F.row_number().over(order).alias("block_no")))
+    words = _count_in_blocks(marked, "_word", name, True).where("_word").drop("_word")
+    return (_join_blocks(words, bases, files)
+            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base"))

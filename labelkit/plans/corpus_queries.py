@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelkit import functions as L
-from labelkit.operators import (batch_rows, filter_split, number_file_lines, number_lines,
+from labelkit.operators import (batch_rows, file_names, filter_split, number_file_lines, number_lines,
                                 pair_by_path, pair_documents, pair_files, positional_zip)
 from labelkit.operators import head_sentences as head
 from labelkit.operators import length_stats as lengths
@@ -100,7 +100,8 @@ def _archive_lines(spark, sf, lines):
     (documents(spark, sf).repartitionByRange("archive", "doc_id")
      .sortWithinPartitions("archive", "doc_id").select("archive", lines.alias("value"))
      .write.partitionBy("archive").text(path))
-    return conll.read_lines(spark, path).withColumn("file", F.col("archive")).drop("archive")
+    return conll.read_lines(spark, path), conll.list_files(spark, path).withColumn(
+        "file", F.col("archive"))
 
 
 @query("""SELECT archive, sum(opens) OVER (PARTITION BY archive
@@ -114,8 +115,8 @@ def _archive_lines(spark, sf, lines):
 def sentence_boundaries(spark, sf):
     """Lines of each archive numbered by sentence, across its parts and splits."""
     lines = _archive_lines(spark, sf, F.replace("text", F.lit(". "), F.lit("\n\n")))
-    return boundaries(lines, F.col("line") == "").select(
-        F.col("file").alias("archive"), "sentence_id", "line")
+    return boundaries(*lines, F.col("line") == "").join(file_names(lines[1]), "file_key").select(
+        "archive", "sentence_id", "line")
 
 
 @query("""SELECT corpus, split, min(n) AS min_length, max(n) AS max_length,
@@ -352,8 +353,8 @@ def convert_cnec_lines(spark, sf):
      .sortWithinPartitions("corpus", "doc_id")
      .select("corpus", F.translate("text", " ", "\t").alias("value"))
      .write.partitionBy("corpus").text(path))
-    lines = conll.read_lines(spark, path).withColumn("file", F.col("corpus")).drop("corpus")
-    return conll.convert_cnec_lines(lines).select(F.col("file").alias("corpus"), "line")
+    files = conll.list_files(spark, path).withColumn("file", F.col("corpus"))
+    return conll.convert_cnec_lines(conll.read_lines(spark, path), files).select(F.col("file").alias("corpus"), "line")
 
 
 @query("""SELECT archive AS base, i AS line_no, tokens, tags FROM (
@@ -456,5 +457,5 @@ ORACLES["write_by_archive"] = _rule_chain("""SELECT archive, tag, count(*) AS n
 def _number_file_lines(spark, sf):
     """Lines numbered per archive, across its parts and splits."""
     lines = _archive_lines(spark, sf, F.col("text"))
-    return number_file_lines(lines).select(
-        F.col("file").alias("archive"), "line_no", "line")
+    return number_file_lines(*lines).join(file_names(lines[1]), "file_key").select(
+        "archive", "line_no", "line")

@@ -10,34 +10,39 @@ from pyspark.sql import functions as F
 from labelkit.functions.tags import map_types
 from labelkit.functions.text import is_blank
 from labelkit.operators.joins import positional_zip
-from labelkit.operators.numbering import number_file_lines, number_lines, sentence_boundaries
+from labelkit.operators.numbering import (file_names, number_file_lines, number_lines,
+                                          sentence_boundaries)
 from labelkit.schemas import LAYOUTS, Layout
 
 _CSV_SCHEMA = "f0 string, f1 string, f2 string, f3 string, f4 string"
 
 
-def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = False,
-               glob: str | None = None) -> DataFrame:
-    """Rows ``file, part, start, line_id, line``, and folder columns such as ``split``.
+def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = False
+               ) -> DataFrame:
+    """Rows ``part_key, start, line_id, line``.
 
-    ``start`` is where the split of the file begins that a line was read from,
-    ``line_id`` rises within it. A file has one part, itself; a caller that
-    takes several as one renames ``file`` only.
+    ``part_key`` tells the file, ``start`` where the split of it begins that the line
+    was read from, ``line_id`` rises within the split.
     """
-    reader = spark.read.option("recursiveFileLookup", recursive)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(path)
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
     return lines.select(
-        *[c for c in lines.columns if c != "value"],
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("part"),
+        F.xxhash64("_metadata.file_path").alias("part_key"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
 
 
-def _folders(lines: DataFrame) -> list[str]:
-    return [c for c in lines.columns
-            if c not in ("file", "part", "start", "line_id", "line")]
+def list_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """Rows ``part_key, part, file`` and folder columns such as ``split``; no file is opened.
+
+    A file has one part, itself; a caller that takes several as one renames ``file``.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+             .load(path))
+    folders = [c for c in files.columns if c not in (
+        "path", "modificationTime", "length", "content")]
+    name = F.col("_metadata.file_path")
+    return files.select(F.xxhash64(name).alias("part_key"), name.alias("part"),
+                        name.alias("file"), *folders)
 
 
 def assign_split(path: Column) -> Column:
@@ -85,10 +90,9 @@ def read_conll(spark: SparkSession, path: str | list[str], layout: str,
     ``split=train`` are kept.
     """
     spec = LAYOUTS[layout]
-    lines = read_lines(spark, path, recursive)
-    folders = _folders(lines)
-    rows = sentence_boundaries(_body(lines, spec), is_boundary(F.col("line"), spec),
-                               per_file=["file", *folders])
+    files = list_files(spark, path, recursive)
+    rows = sentence_boundaries(_body(read_lines(spark, path, recursive), spec), files,
+                               is_boundary(F.col("line"), spec))
     columns = {"tokens": F.get("_f", F.lit(spec.token)),
                "tags": F.rtrim(F.get("_f", F.lit(spec.tag)))}
     columns |= {name: F.get("_f", F.lit(at)) for name, at in spec.extras.items()}
@@ -96,8 +100,9 @@ def read_conll(spark: SparkSession, path: str | list[str], layout: str,
         columns["numbers"] = F.get("_f", F.lit(spec.number)).cast("bigint")
     ordered = F.sort_array(F.collect_list(F.struct(
         "block_no", "line_id", *[c.alias(name) for name, c in columns.items()])))
-    sentences = (_parsed(rows, spec).where(_complete(spec)).groupBy("file", *folders, "sentence_id")
-                 .agg(ordered.alias("_s")))
+    sentences = (_parsed(rows, spec).where(_complete(spec)).groupBy("file_key", "sentence_id")
+                 .agg(ordered.alias("_s")).join(file_names(files), "file_key"))
+    folders = files.columns[3:]
     split = [] if "split" in folders else [assign_split(F.col("file")).alias("split")]
     return sentences.select("file", *folders, *split, "sentence_id",
                             *[F.col("_s")[name].alias(name) for name in columns])
@@ -106,10 +111,11 @@ def read_conll(spark: SparkSession, path: str | list[str], layout: str,
 def conll_rejects(spark: SparkSession, path: str | list[str], layout: str) -> DataFrame:
     """Token lines with too few fields: ``file, line_no, line``."""
     spec = LAYOUTS[layout]
-    lines = read_lines(spark, path)
-    numbered = number_file_lines(lines, per_file=["file", *_folders(lines)])
-    return (_parsed(_body(numbered, spec), spec).where(~is_boundary(F.col("line"), spec) & ~_complete(spec))
-            .select("file", "line_no", "line"))
+    files = list_files(spark, path)
+    numbered = number_file_lines(read_lines(spark, path), files)
+    short = ~is_boundary(F.col("line"), spec) & ~_complete(spec)
+    return (_parsed(_body(numbered, spec), spec).where(short)
+            .join(file_names(files), "file_key").select("file", "line_no", "line"))
 
 
 def conll_block(layout: Layout, first_no: Column | None = None) -> Column:
@@ -196,7 +202,7 @@ def write_token_csv(sentences: DataFrame, path: str, scope: Sequence[str] = ("sp
     write_conll(sentences, path, "poner_csv", scope, index)
 
 
-def convert_cnec_lines(lines: DataFrame) -> DataFrame:
+def convert_cnec_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Four-column lines to numbered lines with named types; ``file, line_no, line``.
 
     Every line takes a number, blank lines stay as they are; a line with fewer than
@@ -209,7 +215,8 @@ def convert_cnec_lines(lines: DataFrame) -> DataFrame:
     short = F.concat_ws("\t", number, parts)
     line = (F.when(is_blank(F.col("line")), "")
             .when(F.size(parts) >= 4, full).otherwise(short))
-    return number_file_lines(lines).select("file", "line_no", line.alias("line"))
+    return (number_file_lines(lines, files).join(file_names(files), "file_key")
+            .select("file", "line_no", line.alias("line")))
 
 
 def read_annotations(docs: DataFrame, doc: str = "member", text: str = "text") -> DataFrame:
@@ -241,10 +248,9 @@ def read_parallel_text(spark: SparkSession, sentences: str, tags: str,
     """
 
     def side(path: str, base: Column) -> DataFrame:
-        lines = read_lines(spark, path)
-        lines = lines.withColumn("file", base).drop(*_folders(lines))
-        return number_file_lines(lines.where(F.col("file").isNotNull())).withColumnRenamed(
-            "file", "base")
+        files = list_files(spark, path).withColumn("file", base).where(F.col("file").isNotNull())
+        names = file_names(files).select("file_key", F.col("file").alias("base"))
+        return number_file_lines(read_lines(spark, path), files).join(names, "file_key")
 
     left = file_base(".sentences.txt") if sentence_base is None else sentence_base
     right = file_base(".ner_tags.txt") if tag_base is None else tag_base

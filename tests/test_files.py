@@ -107,7 +107,8 @@ def test_written_order_and_numbers(spark, tmp_path, sf):
 
 def test_cnec_lines(spark, tmp_path):
     (tmp_path / "train.conll").write_text("a\tl\tm\tB-P\nb\tx\n\nc\tl\tm\tB-a-b\textra\n")
-    lines = conll.convert_cnec_lines(conll.read_lines(spark, str(tmp_path)))
+    lines = conll.convert_cnec_lines(conll.read_lines(spark, str(tmp_path)),
+                                     conll.list_files(spark, str(tmp_path)))
     assert [r["line"] for r in lines.orderBy("line_no").collect()] == [
         "1\ta\tl\tm\tB-PER", "2\tb\tx", "", "4\tc\tl\tm\tMISC"]
 
