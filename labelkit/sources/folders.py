@@ -1,0 +1,25 @@
+"""Folders for tables that a job writes and reads again."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see.
+
+    Below ``spark.checkpoint.dir``; where that is unset, below the warehouse folder.
+    Never a machine's own temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read back from a new table: ends the lineage, and gives the
+    planner the table's true size."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
