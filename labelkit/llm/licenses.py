@@ -25,7 +25,7 @@ PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license versio
            ("cc-by-nc", "cc by nc"))
 
 TEMPLATES = (
-    ("mit", "This work is licensed under the MIT License"),
+    ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
             "and associated documentation files"),
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
