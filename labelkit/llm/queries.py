@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelkit.llm.chat import format_turns, read_back
 from labelkit.llm.common import LOWER, UPPER, table
+from labelkit.llm.decontaminate import find_leaks
+from labelkit.llm.langid import identify_languages
 from labelkit.llm.licenses import LICENSE_WORD, PHRASES, TEMPLATES, _split, scan_licenses
 from labelkit.llm.mixing import mixing_copies
 from labelkit.llm.quality import LineRules, clean_lines
+from labelkit.llm.secrets import BASE_KINDS, scan_secrets
+from labelkit.llm.simhash import near_duplicates
+from labelkit.llm.warc import assemble, read_warc, write_warc
+from labelkit.sources.folders import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +172,68 @@ SELECT conv_id, count(*) AS n_turns,
         AS formatted_chars,
     bool_and(fine) AND last(role ORDER BY turn, role, text) = 'assistant' AS valid
 FROM m GROUP BY conv_id"""
+
+# ---- 1: decontamination
+
+def op1_template_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+QUERIES["op1_template_leaks"] = op1_template_leaks
+
+
+# ---- 4: secret scans
+
+def op4_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    found, _ = scan_secrets(table(spark, sf, "documents"))
+
+    def written(spans) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, BASE_KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
+QUERIES["op4_secret_ledger"] = op4_secret_ledger
+
+
+# ---- 6: WARC
+
+def op6_warc_captures(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_folder(spark, "warc")
+    write_warc(table(spark, sf, "pages"), path)
+    captures = assemble(read_warc(spark, path, payloads=False).drop("payload"))
+    one = captures.select(
+        "capture_id", F.regexp_extract("metadata.fields", r"pageId: (-?\d+)", 1).try_cast("bigint").alias("page_id"),
+        F.col("main.payload_bytes").alias("payload_bytes"), F.col("main.payload_digest").alias("payload_digest"),
+        F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("to_id"), "copies")
+    first = one.where("record_type = 'response'").select(F.col("capture_id").alias("to_id"), F.col("page_id").alias("refers_to"))
+    return (one.join(first, "to_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+QUERIES["op6_warc_captures"] = op6_warc_captures
+
+
+# ---- 8: language identification
+
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return identify_languages(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+QUERIES["op8_language_id"] = op8_language_id
+
+
+# ---- 9: near-duplicates
+
+def op9_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES["op9_simhash_groups"] = op9_simhash_groups
