@@ -13,6 +13,7 @@ from labelkit.llm.decontaminate import find_leaks
 from labelkit.llm.langid import identify_languages
 from labelkit.llm.licenses import LICENSE_WORD, PHRASES, TEMPLATES, _split, scan_licenses
 from labelkit.llm.mixing import mixing_copies
+from labelkit.llm.pitman_yor import score_texts
 from labelkit.llm.quality import LineRules, clean_lines
 from labelkit.llm.secrets import BASE_KINDS, scan_secrets
 from labelkit.llm.simhash import near_duplicates
@@ -220,6 +221,15 @@ def op6_warc_captures(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["op6_warc_captures"] = op6_warc_captures
 
 
+# ---- 7: language model
+
+def op7_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(table(spark, sf, "documents"))
+
+
+QUERIES["op7_pitman_yor"] = op7_pitman_yor
+
+
 # ---- 8: language identification
 
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
