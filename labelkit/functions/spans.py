@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelkit.functions.arrays import cut, let, positions_where
-from labelkit.functions.text import join_tokens
+from labelkit.functions.text import join_tokens, ws_strip
 
 VOTE_THRESHOLD = 0.7
 
@@ -79,7 +79,7 @@ def vote_spans(spans: Column, threshold: float = VOTE_THRESHOLD) -> Column:
     """Spans of all annotators of one chunk to agreed spans, in order of first appearance.
 
     ``spans`` holds ``struct<model, ord, start, end, word, label, score>``; equal
-    (start, end, word) meet. A label with two or more votes wins with the mean
+    (start, end, word) meet, blanks round the word left aside. A label with two or more votes wins with the mean
     score of its votes (tie: higher mean, then label); otherwise the best single
     score wins if it is above ``threshold`` (tie: first annotator). The result holds
     ``struct<rank, start, end, word, label, score>``.
@@ -103,15 +103,23 @@ def vote_spans(spans: Column, threshold: float = VOTE_THRESHOLD) -> Column:
                 key["start"].alias("start"), key["end"].alias("end"), key["word"].alias("word"),
                 w["label"].alias("label"), (-w["minus_score"]).alias("score"))))
 
-    def run(all_spans: Column) -> Column:
-        keys = F.array_distinct(F.transform(all_spans, lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["word"].alias("word"))))
-        return F.array_sort(F.array_compact(F.transform(keys, lambda k: let(
-            F.filter(all_spans, lambda s: (s["start"] == k["start"]) & (s["end"] == k["end"])
-                     & (s["word"] == k["word"])),
-            lambda votes: decide(k, votes)))))
-
-    return let(spans, run)
+    def same(a: Column, b: Column) -> Column:
+        return (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["word"] == b["word"])
+
+    def run(ordered: Column) -> Column:
+        # sorted by place, equal spans stand side by side: no search for each of them
+        opens = positions_where(ordered, lambda s, i: (i == 0) | ~same(
+            s, F.get(ordered, F.greatest(i - 1, F.lit(0)))))
+        runs = cut(ordered, opens)
+        return F.array_sort(F.array_compact(F.transform(
+            runs, lambda votes: decide(F.get(votes, F.lit(0)), votes))))
+
+    # votes of one span stay in the order of annotators and of their spans
+    ranked = F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), ws_strip(s["word"]).alias("word"),
+        s["model"].alias("model"), s["ord"].alias("ord"), s["label"].alias("label"),
+        s["score"].alias("score")))
+    return let(F.array_sort(ranked), run)
 
 
 def tag_words(words: Column, spans: Column) -> Column:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelkit.functions.arrays import cut, let, running_sum
 
@@ -136,9 +139,9 @@ def chunk_words(words: Column, limit: int = 512, compat: bool = False) -> Column
             i.alias("chunk_no"), c["first_word"].alias("first_word"),
             c["offset"].alias("offset"), c["words"].alias("words")))
 
-    return let(words, lambda w: F.slice(number(let(
-        F.struct(w.alias("w"), chunk_starts(w, limit).alias("cuts")), build)),
-        F.lit(1), F.size(w) * 2))
+    chunks = let(words, lambda w: F.when(F.size(w) > 0, number(let(
+        F.struct(w.alias("w"), chunk_starts(w, limit).alias("cuts")), build))))
+    return F.when(words.isNotNull(), F.coalesce(chunks, F.array()))
 
 
 def tags_from_lines(block: Column) -> Column:
@@ -158,17 +161,49 @@ def flat_output_name(path: Column) -> Column:
     return F.concat(F.translate(stem, "/.", "_"), F.lit(".conll"))
 
 
-# Element text up to its first child element, whatever prefix its name carries.
-_UNICODE = "//*[local-name()='Unicode']/text()[not(preceding-sibling::*)]"
-_LINE_UNICODE = ("//*[local-name()='TextLine']//*[local-name()='Unicode']"
-                 "/text()[not(preceding-sibling::*)]")
+def parse_page(xml: str) -> ElementTree.Element | None:
+    """Root of a page, or none for a malformed one."""
+    try:
+        return ElementTree.fromstring(xml)
+    except (ElementTree.ParseError, ValueError):
+        return None
+
+
+def _unicode_texts(xml: str | None, in_lines: bool) -> list[str] | None:
+    """Text of the ``Unicode`` elements of a page, up to their first child element each.
+
+    Comments and processing instructions do not end a text. Names count without their
+    namespace. ``in_lines``: only elements inside a ``TextLine``.
+    """
+    root = None if xml is None else parse_page(xml)
+    if root is None:
+        return None
+    found, stack = [], [(root, not in_lines)]
+    while stack:  # children in reverse, so that elements come in document order
+        element, inside = stack.pop()
+        name = element.tag.rsplit("}", 1)[-1]
+        if inside and name == "Unicode" and element.text:
+            found.append(element.text)
+        inside = inside or name == "TextLine"
+        stack += [(child, inside) for child in reversed(element)]
+    return found
+
+
+def _units(xml: Column, in_lines: bool) -> Column:
+    def texts(pages: pd.Series) -> pd.Series:
+        return pd.Series([_unicode_texts(x, in_lines) for x in pages], dtype=object)
+
+    return F.pandas_udf(texts, T.ArrayType(T.StringType()))(xml)
 
 
 def page_xml_text(xml: Column) -> Column:
-    """Text of all non-empty ``Unicode`` elements in document order, joined by spaces."""
-    return F.array_join(F.xpath(xml, F.lit(_UNICODE)), " ")
+    """Text of all non-empty ``Unicode`` elements in document order, joined by spaces.
+
+    Null for a malformed page, which so is told from an empty one and ends no job.
+    """
+    return F.array_join(_units(xml, False), " ")
 
 
 def page_xml_lines(xml: Column) -> Column:
-    """Text lines of a page: the ``Unicode`` elements inside ``TextLine``."""
-    return F.xpath(xml, F.lit(_LINE_UNICODE))
+    """Text lines of a page: the ``Unicode`` elements inside ``TextLine``; null if malformed."""
+    return _units(xml, True)

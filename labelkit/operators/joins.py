@@ -11,15 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelkit.functions.spans import tag_words
 from labelkit.functions.text import ws_tokens
 
 
-def gazetteer_tag(tokens: DataFrame, gazetteer: DataFrame, doc: str = "doc",
-                  name: str = "type") -> DataFrame:
-    """Type of each token in the dictionary of its own document, else ``O``."""
-    entries = gazetteer.select(doc, F.col("surface").alias("token"), F.col("type").alias(name))
-    return (tokens.join(entries, [doc, "token"], "left")
-            .withColumn(name, F.coalesce(name, F.lit("O"))))
+def gazetteer_tag(sentences: DataFrame, gazetteer: DataFrame, doc: str = "doc",
+                  tokens: str = "tokens", name: str = "types") -> DataFrame:
+    """Types of each sentence's tokens in the dictionary of its own document, else ``O``.
+
+    A dictionary becomes one map per document and meets sentence rows; tokens are looked
+    up inside the row and never shuffled. ``gazetteer`` has one row per surface.
+    """
+    entries = gazetteer.groupBy(doc).agg(F.map_from_entries(
+        F.collect_list(F.struct("surface", "type"))).alias("_types"))
+    known = F.coalesce("_types", F.map_from_arrays(
+        F.array().cast("array<string>"), F.array().cast("array<string>")))
+    return (sentences.join(entries, doc, "left").withColumn("_types", known)
+            .withColumn(name, F.transform(tokens, lambda t: F.coalesce(
+                F.try_element_at("_types", t), F.lit("O")))).drop("_types"))
 
 
 def pair_by_path(docs: DataFrame, annotated: str, raw: str, path: str = "member") -> DataFrame:
@@ -70,40 +79,37 @@ def project_spans(words: DataFrame, spans: DataFrame, keys: Sequence[str] = ("se
                   rank: Sequence[str] = ("model", "ord"), width: int = 512) -> DataFrame:
     """Word rows ``keys, pos, token, start, end`` with the tag of the last span over them.
 
-    Words and spans meet only inside stretches of ``width`` characters, so the pairs
-    compared grow with the text and a very long sentence is shared by many tasks. A
-    word or span over several stretches stands in each; the last rank is the same.
+    Words and spans are gathered by stretches of ``width`` characters, once each, and meet as
+    rows of arrays, so a very long sentence is shared by many tasks and no word is joined
+    back. A word stands in the stretch it begins in, a span in every stretch from which a
+    word under it may begin; words longer than a stretch reach back that far.
     """
     keys = list(keys)
-
-    def stretches(df: DataFrame) -> DataFrame:
-        last = F.greatest(F.col("end") - 1, F.col("start"))
-        return df.withColumn("_at", F.explode(F.sequence(
-            F.floor(F.col("start") / width), F.floor(last / width))))
-
-    placed = stretches(spans.select(
-        *keys, F.col("start").alias("start"), F.col("end").alias("end"), "label",
-        F.struct(*rank).alias("_rank"))).select(
-        *keys, "_at", F.col("start").alias("_start"), F.col("end").alias("_end"),
-        "label", "_rank")
-    tag = F.concat(F.when(F.col("start") == F.col("_start"), "B-").otherwise("I-"), "label")
-    hits = (stretches(words.select(*keys, "pos", "start", "end")).join(placed, [*keys, "_at"])
-            .where((F.col("end") > F.col("_start")) & (F.col("start") < F.col("_end")))
-            .groupBy(*keys, "pos").agg(F.max_by(tag, "_rank").alias("tag")))
-    return (words.join(hits, [*keys, "pos"], "left")
-            .withColumn("tag", F.coalesce("tag", F.lit("O"))))
-
-
-def label_lookup(df: DataFrame, labels: DataFrame, key: str = "id",
-                 small: int = 10_000) -> DataFrame:
+    first = F.floor(F.col("start") / width)
+    held = words.groupBy(*keys, first.alias("_at")).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "pos", "token"))).alias("_words"))
+    # how many stretches back a word over the span's start may begin: a word's length
+    # is bounded by what the words table holds, so it is looked up there, per sentence
+    reach = words.groupBy(*keys).agg(F.max(F.floor((F.col("end") - F.col("start")) / width) + 1).alias("_reach"))
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    placed = (spans.join(reach, keys).withColumn("_at", F.explode(F.sequence(
+        F.greatest(first - F.col("_reach"), F.lit(0)), F.floor(last / width)))))
+    heard = placed.groupBy(*keys, "_at").agg(F.sort_array(F.collect_list(F.struct(
+        F.struct(*rank).alias("rank"), "start", "end", "label"))).alias("_spans"))
+    none = F.array().cast(heard.schema["_spans"].dataType)
+    tagged = (held.join(heard, [*keys, "_at"], "left")
+              .withColumn("_tags", tag_words(F.col("_words"), F.coalesce("_spans", none)))
+              .select(*keys, F.explode(F.arrays_zip("_words", "_tags")).alias("_p")))
+    return tagged.select(*keys, "_p._words.pos", "_p._words.token", "_p._words.start",
+                         "_p._words.end", F.col("_p._tags").alias("tag"))
+
+
+def label_lookup(df: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
     """Rows with the name of their label id.
 
-    One id, often that of ``O``, may stand in most rows, so rows are not shuffled by
-    id while the label table, whose size is checked, is small enough to send round;
-    beyond that adaptive execution splits the hot ids.
+    One id, often that of ``O``, may stand in most rows. A label table is sent round where
+    the planner sees that it is small; otherwise adaptive execution splits the hot ids.
     """
-    if labels.limit(small + 1).count() <= small:
-        labels = F.broadcast(labels)
     return df.join(labels, key)
 
 
@@ -126,9 +132,13 @@ def match_entities(predicted: DataFrame, gold: DataFrame, keys: Sequence[str],
 
 def align_predictions(predicted: DataFrame, gold: DataFrame,
                       keys: Sequence[str] = ("sentence_id",)) -> DataFrame:
-    """Predicted and gold tags of each sentence side by side, joined by key.
+    """Predicted and gold tags of each gold sentence side by side, joined by key.
 
-    Both sides carry one array per sentence, so the shuffle moves sentences, not tokens.
+    A sentence without a prediction counts as all ``O``, so that its entities are missed
+    rather than forgotten. Both sides carry one array per sentence: the shuffle moves
+    sentences, not tokens.
     """
-    return predicted.select(*keys, F.col("tags").alias("pred")).join(
-        gold.select(*keys, F.col("tags").alias("gold")), list(keys))
+    sides = gold.select(*keys, F.col("tags").alias("gold")).join(
+        predicted.select(*keys, F.col("tags").alias("pred")), list(keys), "left")
+    nothing = F.transform("gold", lambda _: F.lit("O"))
+    return sides.select(*keys, F.coalesce("pred", nothing).alias("pred"), "gold")

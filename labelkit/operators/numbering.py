@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from labelkit.folders import saved
+
 
 def running_offset(df: DataFrame, scope: Sequence[str], index: str, value: Column,
                    name: str = "offset", shifts: Sequence[int] = (12, 24)) -> DataFrame:
@@ -23,24 +25,40 @@ def running_offset(df: DataFrame, scope: Sequence[str], index: str, value: Colum
 
     ``index`` is a bigint, unique within a scope; scope columns are not null. Rows
     whose index agrees above the lowest ``shifts[0]`` bits share a block, blocks that
-    agree above ``shifts[1]`` bits a larger block. The wide rows are shuffled once.
+    agree above ``shifts[1]`` bits a larger block. The input is read twice: for the totals
+    of its blocks, which are saved and from which all larger blocks are added up, and for
+    the rows, which are shuffled once.
     """
     scope = list(scope)
-    before = (Window.unboundedPreceding, -1)
-    if not shifts:
-        window = Window.partitionBy(*scope).orderBy(index).rowsBetween(*before)
-        return df.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0)))
-    block, total, base = (f"_{part}{len(shifts)}" for part in ("block", "total", "base"))
+    block, base = "_block", "_base"
     keyed = df.withColumn(block, F.shiftright(F.col(index).cast("bigint"), shifts[0]))
-    totals = keyed.groupBy(*scope, block).agg(F.sum(value).alias(total))
-    bases = running_offset(totals, scope, block, F.col(total), base,
-                           [s - shifts[0] for s in shifts[1:]])
-    window = Window.partitionBy(*scope, block).orderBy(index).rowsBetween(*before)
+    totals = saved(keyed.groupBy(*scope, block).agg(F.sum(value).alias("_total")), "totals")
+    bases = _block_bases(totals, scope, block, base, [s - shifts[0] for s in shifts[1:]])
+    window = Window.partitionBy(*scope, block).orderBy(index).rowsBetween(*_BEFORE)
     return (keyed.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0)))
-            .join(bases.drop(total), [*scope, block], "left")
+            .join(bases, [*scope, block], "left")
             .withColumn(name, F.col(name) + F.col(base)).drop(block, base))
 
 
+_BEFORE = (Window.unboundedPreceding, -1)
+
+
+def _block_bases(totals: DataFrame, scope: list[str], block: str, name: str,
+                 shifts: Sequence[int]) -> DataFrame:
+    """Sums of ``_total`` over the earlier blocks of a scope: ``scope, block, name``."""
+    if not shifts:
+        window = Window.partitionBy(*scope).orderBy(block).rowsBetween(*_BEFORE)
+        return totals.select(*scope, block, F.coalesce(F.sum("_total").over(window), F.lit(0)).alias(name))
+    wide, base = f"_wide{len(shifts)}", f"_base{len(shifts)}"
+    keyed = totals.withColumn(wide, F.shiftright(block, shifts[0]))
+    larger = keyed.groupBy(*scope, wide).agg(F.sum("_total").alias("_total"))
+    bases = _block_bases(larger, scope, wide, base, [s - shifts[0] for s in shifts[1:]])
+    window = Window.partitionBy(*scope, wide).orderBy(block).rowsBetween(*_BEFORE)
+    return (keyed.withColumn(name, F.coalesce(F.sum("_total").over(window), F.lit(0)))
+            .join(bases, [*scope, wide], "left")
+            .select(*scope, block, (F.col(name) + F.col(base)).alias(name)))
+
+
 def number_lines(sentences: DataFrame, scope: Sequence[str], index: str,
                  count_blanks: bool = False, base: int = 0, tokens: str = "tokens",
                  name: str = "first_no", shifts: Sequence[int] = (12, 24)) -> DataFrame:
@@ -60,70 +78,84 @@ def sentence_ids(sentences: DataFrame, scope: Sequence[str], index: str,
 
 
 def batch_rows(df: DataFrame, size: int, scope: Sequence[str], index: str,
-               name: str = "batch", shifts: Sequence[int] = (12, 24)) -> DataFrame:
-    """Number batches of ``size`` consecutive rows within ``scope``."""
-    return (running_offset(df, scope, index, F.lit(1), name, shifts)
-            .withColumn(name, F.floor(F.col(name) / size)))
+               name: str = "batch", shifts: Sequence[int] = (12, 24), dense: bool = False) -> DataFrame:
+    """Number batches of ``size`` consecutive rows within ``scope``.
+
+    ``dense``: the index already counts the rows of its scope from 0, as ``sentence_ids`` does.
+    """
+    numbered = (df.withColumn(name, F.col(index)) if dense
+                else running_offset(df, scope, index, F.lit(1), name, shifts))
+    return numbered.withColumn(name, F.floor(F.col(name) / size))
 
 
 # A block is one split of one part of a file, told by this compact key. Names are kept
 # out of the lines: ``files`` holds ``part_key, part, file`` and what else a file has.
 _BLOCK = ["part_key", "start"]
 _EARLIER = (Window.unboundedPreceding, -1)
-_MOST_SENT_ROUND = 2_000_000
 
 
-def _count_in_blocks(lines: DataFrame, flag: str, name: str, runs: bool) -> DataFrame:
-    """Add the count of flagged rows, or of runs of them, so far in the row's block.
+class _Order:
+    """Sees that the lines of a block come together and in order, as a scan gives them."""
+
+    def __init__(self) -> None:
+        self.block: tuple | None = None
+        self.line = -1
+
+    def check(self, part: np.ndarray, start: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """True where a line opens a block; lines that were dealt out anew are an error."""
+        opens = np.ones(len(part), dtype=bool)
+        opens[1:] = (part[1:] != part[:-1]) | (start[1:] != start[:-1])
+        opens[0] = (part[0], start[0]) != self.block
+        before = np.concatenate([[self.line], line[:-1]])
+        if (line <= before).any():
+            raise ValueError("lines were reordered after reading: number them as they are read")
+        self.block, self.line = (part[-1], start[-1]), line[-1]
+        return opens
+
+
+def _numpy(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _count_in_blocks(lines: DataFrame, name: str) -> DataFrame:
+    """Add the 1-based number of each line within its block.
 
     A scan task reads the lines of a block in order and together, so a pass over its
     batches counts them where they are: a window would shuffle and sort every line.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total, flagged = None, 0, False
+        order, total = _Order(), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, start, flags = (batch.column(c).to_numpy(zero_copy_only=False)
-                                  for c in (*_BLOCK, flag))
-            opens_block = np.ones(len(flags), dtype=bool)
-            opens_block[1:] = (part[1:] != part[:-1]) | (start[1:] != start[:-1])
-            opens_block[0] = (part[0], start[0]) != block
-            counted = flags
-            if runs:
-                before = np.concatenate([[flagged], flags[:-1]])
-                counted = flags & ~(before & ~opens_block)
-            sums = np.cumsum(counted) + total
-            earlier = np.maximum.accumulate(np.where(opens_block, sums - counted, 0))
-            sums = sums - earlier
-            block, total, flagged = (part[-1], start[-1]), sums[-1], flags[-1]
+            opens = order.check(*_numpy(batch, *_BLOCK, "line_id"))
+            places = np.arange(1, batch.num_rows + 1)
+            base = np.maximum.accumulate(np.where(opens, places - 1, -1))
+            numbers = np.where(base >= 0, places - base, places + total)
+            total = numbers[-1]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(sums, pa.int64())], [*batch.schema.names, name])
+                [*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, name])
 
     schema = T.StructType([*lines.schema.fields, T.StructField(name, T.LongType())])
     return lines.mapInArrow(count, schema)
 
 
-def _join_blocks(lines: DataFrame, bases: DataFrame, files: DataFrame) -> DataFrame:
-    """Lines with what is known of their block.
-
-    There are at most as many blocks as files and read tasks; up to a limit the block rows,
-    a few numbers each, are sent round and no line is shuffled.
-    """
-    if lines.rdd.getNumPartitions() + files.count() <= _MOST_SENT_ROUND:
-        bases = F.broadcast(bases)
-    return lines.join(bases, _BLOCK)
-
-
 def _in_file_order(blocks: DataFrame, files: DataFrame) -> tuple[DataFrame, WindowSpec]:
     """Block rows with a number for their file, and the order of a file's blocks."""
     by_file = Window.partitionBy("file")
-    named = blocks.join(files.select("part_key", "part", "file"), "part_key")
+    named = blocks.join(_told_apart(files).select("part_key", "part", "file"), "part_key")
     return (named.withColumn("file_key", F.min("part_key").over(by_file)),
             by_file.orderBy("part", "start"))
 
 
+def _told_apart(files: DataFrame) -> DataFrame:
+    """Files as they are; two parts with one key would be taken for one and are an error."""
+    parts = files.groupBy("part_key").agg(F.count_distinct("part").alias("_parts"))
+    clash = F.when(F.col("_parts") > 1, F.raise_error(F.lit("two file names share a key")))
+    return files.join(parts, "part_key").where(clash.isNull()).drop("_parts")
+
+
 def file_names(files: DataFrame) -> DataFrame:
     """``file_key`` with the name and folders of each file."""
     rest = [c for c in files.columns if c not in ("part_key", "part")]
@@ -134,36 +166,109 @@ def file_names(files: DataFrame) -> DataFrame:
 def number_file_lines(lines: DataFrame, files: DataFrame, name: str = "line_no") -> DataFrame:
     """Lines of ``read_lines`` with ``file_key`` and a dense 0-based number per file.
 
-    A long file is numbered by as many tasks as it has blocks.
+    A long file is numbered by as many tasks as it has blocks. Block totals are saved
+    first, so that the planner knows their size and sends them round while they are
+    small. ``lines`` must come straight from reading.
     """
-    keyed = lines.withColumn("_line", F.lit(True))
     blocks, order = _in_file_order(
-        keyed.groupBy(*_BLOCK).agg(F.count("*").alias("_lines")), files)
+        lines.groupBy(*_BLOCK).agg(F.count("*").alias("_lines")), files)
     before = F.sum("_lines").over(order.rowsBetween(*_EARLIER))
-    bases = blocks.select(*_BLOCK, "file_key", F.coalesce(before, F.lit(0)).alias("_base"))
-    counted = _count_in_blocks(keyed, "_line", name, runs=False)
-    return (_join_blocks(counted, bases, files)
-            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base", "_line"))
+    bases = saved(blocks.select(*_BLOCK, "file_key", F.coalesce(before, F.lit(0)).alias("_base")),
+                  "blocks")
+    return (_count_in_blocks(lines, name).join(bases, _BLOCK)
+            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base"))
 
 
-def sentence_boundaries(lines: DataFrame, files: DataFrame, boundary: Column,
-                        name: str = "sentence_id") -> DataFrame:
-    """Token lines of ``read_lines`` with ``file_key`` and a dense sentence number per file.
+_PIECE = ("part_key bigint, start bigint, ordinal bigint, opens boolean, closes boolean, "
+          "lines array<string>")
 
-    A sentence is a run of lines without a boundary. Runs are counted inside each
-    block; a block whose first line goes on with the sentence the block before it
-    left open does not count that run again. ``block_no`` orders the blocks of a file.
+
+def _pieces(lines: DataFrame, boundary: Column, edges: bool) -> DataFrame:
+    """Runs of lines without a boundary, per block: those inside it, or those at its edges.
+
+    ``opens``: the run begins with the block's first line and may go on from the block
+    before; ``closes``: it ends with the last. ``edges`` gives the runs that do either and, for
+    every block, a row without lines whose ordinal is the number of runs.
     """
-    marked = lines.withColumn("_word", ~boundary)
-    counted = _count_in_blocks(marked.select(*_BLOCK, "line_id", "_word"), "_word", name, True)
-    blocks, order = _in_file_order(counted.groupBy(*_BLOCK).agg(
-        F.max(name).alias("_runs"), F.min_by("_word", "line_id").alias("_first"),
-        F.max_by("_word", "line_id").alias("_last")), files)
+    marked = lines.select(*_BLOCK, "line_id", "line", (~boundary).alias("_word"))
+    names = [c.split()[0] for c in _PIECE.split(", ")]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, block, run, ordinal, opened = _Order(), None, [], 0, False
+        out: list[tuple] = []
+
+        def end_run(closes: bool) -> None:
+            nonlocal run, ordinal
+            if run:
+                opens = opened and ordinal == 0
+                if edges == (opens or closes):
+                    out.append((*block, ordinal, opens, closes, run))
+                run, ordinal = [], ordinal + 1
+
+        def end_block() -> None:
+            if block is not None:
+                end_run(True)
+                if edges:
+                    out.append((*block, ordinal, False, False, None))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, start, line_id, word = _numpy(batch, *_BLOCK, "line_id", "_word")
+            fresh = order.check(part, start, line_id)
+            for k, text in enumerate(batch.column("line").to_pylist()):
+                if fresh[k]:
+                    end_block()
+                    block, ordinal, opened = (int(part[k]), int(start[k])), 0, bool(word[k])
+                if word[k]:
+                    run.append(text)
+                else:
+                    end_run(False)
+            if out:
+                yield pa.RecordBatch.from_pylist(
+                    [dict(zip(names, row, strict=True)) for row in out], schema=arrow)
+                out.clear()
+        end_block()
+        if out:
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(names, row, strict=True)) for row in out], schema=arrow)
+
+    arrow = pa.schema([("part_key", pa.int64()), ("start", pa.int64()), ("ordinal", pa.int64()),
+                       ("opens", pa.bool_()), ("closes", pa.bool_()), ("lines", pa.list_(pa.string()))])
+    return marked.mapInArrow(gather, _PIECE)
+
+
+def sentence_lines(lines: DataFrame, files: DataFrame, boundary: Column,
+                   name: str = "sentence_id") -> DataFrame:
+    """Rows ``file_key, sentence_id, lines``: runs of lines without a boundary, numbered densely per file.
+
+    The task that reads a block puts its sentences together. Only the runs at the edges
+    of blocks, at most two per block, are saved, exchanged and joined to one another; how
+    many runs the blocks before hold is sent round. A file without boundaries is one
+    row. ``lines`` must come straight from reading.
+    """
+    edges = saved(_pieces(lines, boundary, True), "edges")
+    blocks, order = _in_file_order(edges.groupBy(*_BLOCK).agg(
+        F.max(F.when(F.col("lines").isNull(), F.col("ordinal"))).alias("_runs"),
+        F.max("opens").alias("_first"), F.max("closes").alias("_last")), files)
     goes_on = F.col("_first") & F.coalesce(F.lag("_last").over(order), F.lit(False))
     before = F.sum(F.col("_runs") - F.col("_goes_on")).over(order.rowsBetween(*_EARLIER))
-    bases = (blocks.withColumn("_goes_on", goes_on.cast("int"))
-             .withColumn("_base", F.coalesce(before, F.lit(0)) - F.col("_goes_on"))
-             .select(*_BLOCK, "file_key", "_base", F.row_number().over(order).alias("block_no")))
-    words = _count_in_blocks(marked, "_word", name, True).where("_word").drop("_word")
-    return (_join_blocks(words, bases, files)
-            .withColumn(name, F.col(name) + F.col("_base") - 1).drop("_base"))
+    bases = saved(blocks.withColumn("_goes_on", goes_on.cast("int"))
+                  .withColumn("_base", F.coalesce(before, F.lit(0)) - F.col("_goes_on"))
+                  .select(*_BLOCK, "file_key", "_base", F.row_number().over(order).alias("_no")),
+                  "blocks")
+
+    def numbered(pieces: DataFrame) -> DataFrame:
+        return pieces.join(bases, _BLOCK).withColumn(name, F.col("ordinal") + F.col("_base"))
+
+    inside = numbered(_pieces(lines, boundary, False)).select("file_key", name, "lines")
+    cut = numbered(edges.where(F.col("lines").isNotNull())).groupBy("file_key", name).agg(
+        F.sort_array(F.collect_list(F.struct("_no", "ordinal", "lines"))).alias("_parts"))
+    return inside.unionByName(cut.select("file_key", name, F.flatten("_parts.lines").alias("lines")))
+
+
+def sentence_boundaries(lines: DataFrame, files: DataFrame, boundary: Column,
+                        name: str = "sentence_id") -> DataFrame:
+    """Token lines ``file_key, sentence_id, pos, line`` with a dense sentence number per file."""
+    return sentence_lines(lines, files, boundary, name).select(
+        "file_key", name, F.posexplode("lines").alias("pos", "line"))

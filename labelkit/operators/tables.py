@@ -67,7 +67,8 @@ def head_sentences(sentences: DataFrame, n: int,
 
 def shuffle_rows(df: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Rows in a random order that is the same in every run."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    place = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return df.orderBy(F.md5(place), *keys)
 
 
 def sequential_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -102,9 +103,11 @@ def encode_with_vocabulary(sentences: DataFrame, train: DataFrame, tags: str = "
             .withColumn(name, encode_labels(F.col(tags), F.col("_names"))).drop("_names"))
 
 
-def pad_length(df: DataFrame, array: str) -> Column:
-    """Longest array of a table as one value."""
-    return df.agg(F.max(F.size(array))).scalar()
+def pad_length(df: DataFrame, array: str, batch: Sequence[str], name: str = "width") -> DataFrame:
+    """Rows with the size of the longest array of their batch: one long row widens its own
+    batch and no other. The widths are one small row per batch."""
+    widths = df.groupBy(*batch).agg(F.max(F.size(array)).alias(name))
+    return df.join(widths, list(batch))
 
 
 def conll_to_tokens(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -6,9 +6,6 @@ types and for three annotators; the SQL side states the same rules.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +14,12 @@ from labelkit.functions.spans import group_subword_entities
 from labelkit.functions.tags import bio_from_types
 from labelkit.functions.text import joined_positions, split_literal, ws_tokens
 from labelkit.operators.numbering import running_offset
+from labelkit.folders import scratch_folder as scratch
 
 MODELS = (0, 1, 2)
 _DIGITS, _TYPES = "0123456789abcdef", "ppgiOOOOOOOOOOOO"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for tables a query writes: below the shared checkpoint folder, if set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="labelkit-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -39,14 +29,8 @@ def split_rule(doc_id: Column) -> Column:
             .otherwise("train"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Shares a small input among all cores; one with enough splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id").select(
+    return table(spark, sf, "documents").select(
         "doc_id", F.col("lang").alias("corpus"), split_rule(F.col("doc_id")).alias("split"),
         F.col("source").alias("archive"), "text")
 
@@ -164,8 +148,9 @@ def corpus_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_xml(text: Column) -> Column:
-    """A page of one text line per document line, in a default namespace."""
+    """A page of one text line per document line, in a default namespace, with comments."""
     escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    escaped = F.replace(escaped, F.lit(", "), F.lit(",<!-- pause --> "))
     line = "<TextLine><TextEquiv><Unicode>{}</Unicode></TextEquiv></TextLine>"
     before, after = line.split("{}")
     return F.concat(

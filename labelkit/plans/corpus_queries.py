@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from labelkit import functions as L
-from labelkit.operators import (batch_rows, file_names, filter_split, number_file_lines, number_lines,
-                                pair_by_path, pair_documents, pair_files, positional_zip)
+from labelkit.folders import saved
+from labelkit.operators import (annotate, batch_rows, count_tags_total, file_names, filter_split, number_file_lines, number_lines,
+                                pair_by_path, pair_documents, pair_files, positional_zip, tags_of_lines)
 from labelkit.operators import head_sentences as head
 from labelkit.operators import length_stats as lengths
 from labelkit.operators import sentence_boundaries as boundaries
@@ -18,10 +21,10 @@ from labelkit.operators import truncation_length as cut_length
 from labelkit.operators import union_corpora as union
 from labelkit.operators import union_eval_splits as eval_union
 from labelkit.operators import unpaired_files as unpaired
-from labelkit.plans.bridge import (corpus_sentences, doc_sentences, documents, gold_tags,
+from labelkit.plans.bridge import (MODELS, corpus_sentences, doc_sentences, documents, gold_tags,
                                    page_xml, rule_annotators, scratch, table, tagged_sentences,
                                    token_type)
-from labelkit.plans.labelling import label_documents, labelled_lines
+from labelkit.plans.labelling import label_documents, labelled_documents, labelled_lines
 from labelkit.plans.registry import ORACLES, QUERIES, query
 from labelkit.plans.span_queries import _rule_chain
 from labelkit.schemas import CANON, LAYOUTS
@@ -90,7 +93,7 @@ def sentence_ids(spark, sf):
 @query("SELECT corpus, split, sentence_id, sentence_id // 32 AS batch FROM corp",
        name="batch_rows")
 def _batch_rows(spark, sf):
-    return batch_rows(corpus_sentences(spark, sf), 32, ["corpus", "split"], "sentence_id").select(
+    return batch_rows(corpus_sentences(spark, sf), 32, ["corpus", "split"], "sentence_id", dense=True).select(
         "corpus", "split", "sentence_id", "batch")
 
 
@@ -183,14 +186,28 @@ def head_sentences(spark, sf):
     return _joined(head(corpus_sentences(spark, sf), 101))
 
 
-@query("SELECT corpus, split, sentence_id, tokens FROM ctags")
+def _ranked(df):
+    """Rows with the place at which they stand, told by the order they are saved in."""
+    placed = saved(df.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    return dense_ids(placed.withColumn("all", F.lit(0)), ["all"], "at", "rank", shifts=_IN_DOC)
+
+
+_PLACED = ["corpus", "split", "sentence_id"]
+
+
+@query("""SELECT corpus, split, sentence_id, row_number() OVER (ORDER BY
+    md5(corpus || '|' || split || '|' || sentence_id || '|42'), corpus, split, sentence_id) - 1 AS rank
+    FROM corp""")
 def shuffle_rows(spark, sf):
-    return _joined(shuffled(corpus_sentences(spark, sf), ["corpus", "split", "sentence_id"]))
+    rows = corpus_sentences(spark, sf).select(*_PLACED)
+    return _ranked(shuffled(rows, _PLACED)).select(*_PLACED, "rank")
 
 
-@query("SELECT corpus, split, sentence_id, tokens FROM ctags ORDER BY corpus, split, sentence_id")
+@query("""SELECT corpus, split, sentence_id,
+    row_number() OVER (ORDER BY corpus, split, sentence_id) - 1 AS rank FROM corp""")
 def sequential_order(spark, sf):
-    return _joined(in_order(corpus_sentences(spark, sf), ["corpus", "split", "sentence_id"]))
+    rows = corpus_sentences(spark, sf).select(*_PLACED)
+    return _ranked(in_order(rows, _PLACED)).select(*_PLACED, "rank")
 
 
 def _lines_of(spark, sf):
@@ -269,15 +286,16 @@ def _pair_documents(spark, sf):
     return pairs.select("raw_path", "raw_text")
 
 
-@query("""SELECT doc_id AS doc, token AS surface, arg_max('T' || (pos % 3), pos) AS type
-    FROM tok WHERE sent_no = 0 GROUP BY doc_id, token""")
+@query(r"""SELECT doc_id AS doc, token AS surface, arg_max('T' || (i % 3), i) AS type FROM (
+    SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id,
+        list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM docs))
+    GROUP BY doc_id, token""")
 def read_annotations(spark, sf):
-    """Annotation files of a title and one line per word of the first sentence."""
-    first = doc_sentences(spark, sf).where(F.col("sent_no") == 0)
-    lines = F.transform("words", lambda w, i: F.concat_ws(
+    """Annotation files of a title and one line per word of the document."""
+    lines = F.transform(L.ws_tokens(F.col("text")), lambda w, i: F.concat_ws(
         "\t", w, w, F.concat(F.lit("T"), (i % 3).cast("string")), F.lit("id")))
-    files = first.select("doc_id", F.concat(F.lit("title\n"), F.array_join(lines, "\n"))
-                         .alias("text"))
+    files = documents(spark, sf).select("doc_id", F.concat(
+        F.lit("title\n"), F.array_join(lines, "\n")).alias("text"))
     return conll.read_annotations(files, "doc_id")
 
 
@@ -357,6 +375,20 @@ def convert_cnec_lines(spark, sf):
     return conll.convert_cnec_lines(conll.read_lines(spark, path), files).select(F.col("file").alias("corpus"), "line")
 
 
+@query("""SELECT archive AS file, row_number() OVER (PARTITION BY archive ORDER BY doc_id, i) - 1 AS line_no,
+        CASE WHEN trim(line) = '' THEN '' ELSE row_number() OVER (PARTITION BY archive ORDER BY doc_id, i)
+            || chr(9) || line END AS line
+    FROM (SELECT archive, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (
+        SELECT archive, doc_id, string_split(text, chr(10)) AS lines FROM docs))""")
+def write_cnec_lines(spark, sf):
+    """Converted lines written in order and read back in the order of the written files."""
+    path = scratch(spark, "converted")
+    conll.write_cnec_lines(*_archive_lines(spark, sf, F.col("text")), path)
+    files = conll.list_files(spark, path).withColumn("file", F.col("file_name"))
+    numbered = number_file_lines(conll.read_lines(spark, path), files)
+    return numbered.join(file_names(files), "file_key").select("file", "line_no", "line")
+
+
 @query("""SELECT archive AS base, i AS line_no, tokens, tags FROM (
     SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY doc_id, sent_no) - 1 AS i,
         string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(tag, ' ' ORDER BY pos) AS tags
@@ -405,18 +437,21 @@ def _zipped(spark, sf, path):
         F.concat("archive", F.lit(".zip")).alias("archive"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".xml")).alias("member"),
         page_xml(F.col("text")).alias("text"))
-    archives.write_archives(docs, path).write.format("noop").mode("overwrite").save()
+    broken = docs.select("archive").distinct().select(
+        "archive", F.lit("broken.xml").alias("member"), F.lit("<PcGts><Page>").alias("text"))
+    archives.write_archives(docs.unionByName(broken), path).write.format("noop").mode("overwrite").save()
     return path
 
 
 def _archive_name(path):
-    return F.regexp_extract(path, r"([^/]+)\.zip$", 1)
+    return F.regexp_extract(path, r"([^/]+)-\d+\.zip$", 1)
 
 
 @query("""SELECT archive, doc_id || '.xml' AS member, 1 AS well_formed,
-    array_to_string(lines, ' ') AS text FROM pages_text""")
+        array_to_string(lines, ' ') AS text FROM pages_text
+    UNION ALL SELECT DISTINCT archive, 'broken.xml', 0, NULL FROM pages_text""")
 def read_archives(spark, sf):
-    """Zip archives of page XML: written, unpacked by many tasks, text taken out."""
+    """Zip archives of page XML: written, unpacked by many tasks, text taken out of whole pages."""
     docs = archives.read_archives(spark, _zipped(spark, sf, scratch(spark, "zip")), check_xml=True)
     return docs.select(_archive_name("archive").alias("archive"), "member",
                        F.col("well_formed").cast("int").alias("well_formed"),
@@ -432,6 +467,63 @@ def read_archives_recursive(spark, sf):
     return docs.select(_archive_name("archive").alias("archive"), "member")
 
 
+def _rule_annotator(model):
+    """One of the rule annotators as a Python function over batches of texts."""
+    types, digits = "ppgiOOOOOOOOOOOO", "0123456789abcdef"
+
+    def spans_of(text):
+        found, at, run = [], 0, None
+        for word in [*text.split(" "), ""]:
+            h = hashlib.md5(word.encode()).hexdigest()
+            own = h[2 + 3 * model] if h[1 + 3 * model] < "4" else h[0]
+            label = types[digits.index(own)] if word else "O"
+            score = digits.index(h[3 + 3 * model]) / 15
+            if run and run["label"] != label:
+                found.append(run)
+                run = None
+            if label != "O":
+                run = run or {"label": label, "start": at, "word": [], "score": []}
+                run["word"].append(word)
+                run["score"].append(score)
+                run["end"] = at + len(word)
+            at += len(word) + 1
+        return [{"start": r["start"], "end": r["end"], "word": " ".join(r["word"]), "label": r["label"],
+                 "score": round(sum(r["score"]) / len(r["score"]), 6)} for r in found]
+
+    return lambda texts: [spans_of(t) for t in texts]
+
+
+def _loader(model):
+    return lambda: _rule_annotator(model)
+
+
+def label_archives(spark, sf):
+    """The whole job: archives of pages in, archives of labelled text out, its tags counted.
+
+    Tags are those of the written members, read again, in all and per archive.
+    """
+    pages = archives.read_archives(spark, _zipped(spark, sf, scratch(spark, "pages")), member_glob="*.xml",
+                                   check_xml=True).where("well_formed")
+    docs = pages.select(_archive_name("archive").alias("archive"), "member",
+                        L.page_xml_text(F.col("text")).alias("text"))
+    labelled = label_documents(docs, lambda c: annotate(c, [_loader(m) for m in MODELS]))
+    texts = labelled_documents(labelled, ["archive", "member"]).select(
+        F.concat("archive", F.lit(".zip")).alias("archive"), L.output_name(F.col("member")).alias("member"), "text")
+    out = scratch(spark, "labelled-zips")
+    archives.write_archives(texts, out).write.format("noop").mode("overwrite").save()
+    back = archives.read_archives(spark, out, member_glob="*.conll")
+    tags = tags_of_lines(back.withColumn("archive", _archive_name("archive")))
+    return count_tags_total(tags, counted=[f"{b}-{t}" for b in "BI" for t in "pgi"] + ["O"])
+
+
+QUERIES["label_archives"] = label_archives
+ORACLES["label_archives"] = _rule_chain("""SELECT tag, archive, count(*) AS n FROM tagged
+    JOIN (SELECT doc_id, source AS archive FROM documents) USING (doc_id) GROUP BY ROLLUP (tag, archive)""").replace(
+    "WITH docs AS (SELECT doc_id, text, source AS archive FROM documents)",
+    """WITH docs AS (SELECT doc_id, source AS archive, array_to_string(list_filter(
+        string_split(text, chr(10)), lambda x: x <> ''), ' ') AS text FROM documents)""")
+
+
 def write_by_archive(spark, sf):
     """The labelling job written per archive, read back and its tags counted."""
     path, saved = scratch(spark, "labelled"), scratch(spark, "saved")

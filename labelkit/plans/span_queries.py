@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from labelkit import functions as L
 from labelkit.operators import (accumulate_metric, align_predictions, annotate,
-                                filter_confidence, gather_sentences, gazetteer_tag,
-                                head_sentences, metric_counts)
+                                filter_confidence, gazetteer_tag, metric_counts)
 from labelkit.operators import collect_votes as votes
 from labelkit.operators import entity_prf_by_type as prf_by_type
 from labelkit.operators import entity_prf_overall as prf_overall
@@ -42,12 +41,13 @@ def bio_to_spans(spark, sf):
     return doc_sentences(spark, sf).select(*KEYS, F.inline(L.bio_to_spans(tags)))
 
 
-@query("""SELECT doc_id, sent_no, "start", "end", label, word, round(score, 4) AS score
-    FROM spans WHERE model = 1""")
+@query("""SELECT doc_id, sent_no, model, "start", "end", label, word, round(score, 4) AS score
+    FROM spans""")
 def group_subword_entities(spark, sf):
-    entities = L.group_subword_entities(model_pieces(F.col("words"), 1))
-    return doc_sentences(spark, sf).select(*KEYS, F.inline(entities)).withColumn(
-        "score", F.round("score", 4))
+    found = F.array(*[F.struct(F.lit(m).alias("model"), L.group_subword_entities(
+        model_pieces(F.col("words"), m)).alias("e")) for m in MODELS])
+    return (doc_sentences(spark, sf).select(*KEYS, F.inline(found)).select(*KEYS, "model", F.inline("e"))
+            .withColumn("score", F.round("score", 4)))
 
 
 @query("""SELECT doc_id, sent_no, model, "start", "end", label FROM spans WHERE score > 0.7""",
@@ -119,17 +119,16 @@ def project_spans_in_rows(spark, sf):
         THEN 'I-' || type ELSE 'B-' || type END AS tag
     FROM (SELECT t.doc_id, sent_no, pos, t.token, coalesce(g.type, 'O') AS type
         FROM (SELECT doc_id, sent_no, pos, regexp_replace(token, '\\.$', '') AS token FROM tok) t
-        LEFT JOIN (SELECT DISTINCT doc_id, token, type FROM typed WHERE sent_no = 0) g
+        LEFT JOIN (SELECT DISTINCT doc_id, token, type FROM typed WHERE regexp_matches(token, '^\\p{Lu}')) g
             USING (doc_id, token))""", name="gazetteer_tag")
 def _gazetteer_tag(spark, sf):
-    """Tokens tagged by the dictionary of their document, the words of its first sentence."""
-    tokens = doc_tokens(spark, sf).select(
-        *KEYS, "pos", L.strip_final_period(F.col("token")).alias("token"))
-    entries = doc_tokens(spark, sf).where(F.col("sent_no") == 0).select(
-        "doc_id", F.col("token").alias("surface")).distinct().withColumn(
+    """Sentences tagged by the dictionary of their document: its capitalised words."""
+    words = doc_sentences(spark, sf).where(F.size("words") > 0).select(
+        *KEYS, F.transform("words", L.strip_final_period).alias("tokens"))
+    entries = doc_sentences(spark, sf).select("doc_id", F.explode(F.array_distinct(F.filter(
+        "words", lambda w: w.rlike(r"^\p{Lu}")))).alias("surface")).distinct().withColumn(
         "type", token_type(F.col("surface")))
-    typed = gazetteer_tag(tokens, entries, "doc_id")
-    sentences = gather_sentences(typed, KEYS, token="tokens", type="types")
+    sentences = gazetteer_tag(words, entries, "doc_id")
     pairs = F.arrays_zip(F.col("tokens").alias("token"),
                          L.bio_from_types(F.col("types")).alias("tag"))
     return sentences.select(*KEYS, F.posexplode(pairs).alias("pos", "_t")).select(
@@ -185,10 +184,9 @@ def _rounded(df):
     return df
 
 
-@query(f"SELECT type, {_SUMS}, {_RATES} FROM ({_COUNTED}) WHERE model = 0 GROUP BY type")
+@query(f"SELECT model, type, {_SUMS}, {_RATES} FROM ({_COUNTED}) GROUP BY model, type")
 def entity_prf_by_type(spark, sf):
-    rows = _predicted(spark, sf, [0])
-    return _rounded(prf_by_type(metric_counts(rows, [])))
+    return _rounded(prf_by_type(metric_counts(_predicted(spark, sf), ["model"]), ["model"]))
 
 
 @query(f"SELECT model, {_SUMS}, {_RATES} FROM ({_COUNTED}) GROUP BY model")
@@ -224,17 +222,19 @@ def _accumulate_metric(spark, sf):
 
 
 def _entities(df, tags):
-    return df.select(*KEYS, F.inline(L.bio_to_spans(tags)))
+    """Entities of every annotator; ``tags`` gives the tags of one."""
+    voices = F.array(*[F.struct(F.lit(m).alias("model"), L.bio_to_spans(tags(m)).alias("e")) for m in MODELS])
+    return df.select(*KEYS, F.inline(voices)).select(*KEYS, "model", F.inline("e"))
 
 
 def _match(spark, sf, result):
     sentences = doc_sentences(spark, sf)
-    return match(_entities(sentences, model_tags(F.col("words"), 0)),
-                 _entities(sentences, gold_tags(F.col("words"))), KEYS, result)
+    return match(_entities(sentences, lambda m: model_tags(F.col("words"), m)),
+                 _entities(sentences, lambda _: gold_tags(F.col("words"))), [*KEYS, "model"], result)
 
 
-_PRED = """(SELECT doc_id, sent_no, label AS type, first, last FROM spans WHERE model = 0)"""
-_GOLD = "(SELECT doc_id, sent_no, type, first, last FROM goldspans)"
+_PRED = """(SELECT doc_id, sent_no, model, label AS type, first, last FROM spans)"""
+_GOLD = """(SELECT doc_id, sent_no, model, type, first, last FROM goldspans, (VALUES (0), (1), (2)) v(model))"""
 
 
 @query(f"SELECT * FROM {_PRED} INTERSECT SELECT * FROM {_GOLD}")
@@ -252,16 +252,21 @@ def match_entities_fn(spark, sf):
     return _match(spark, sf, "false_negative")
 
 
-@query("""SELECT doc_id, sent_no, sum((s.tag = g.tag)::INT)::BIGINT AS same, count(*) AS n
-    FROM said s JOIN gold g USING (doc_id, sent_no, pos) WHERE model = 2
-    GROUP BY doc_id, sent_no""", name="align_predictions")
+@query("""SELECT doc_id, sent_no, s.model, sum((g.tag = CASE WHEN d.lang = 'de' AND s.model = 1 THEN 'O'
+        ELSE s.tag END)::INT)::BIGINT AS same, count(*) AS n
+    FROM said s JOIN gold g USING (doc_id, sent_no, pos) JOIN documents d USING (doc_id)
+    GROUP BY doc_id, sent_no, s.model""", name="align_predictions")
 def _align_predictions(spark, sf):
+    """Three annotators, one of which knows no German and predicts nothing there."""
     sentences = doc_sentences(spark, sf).where(F.size("words") > 0)
-    pairs = align_predictions(
-        sentences.select(*KEYS, model_tags(F.col("words"), 2).alias("tags")),
-        sentences.select(*KEYS, gold_tags(F.col("words")).alias("tags")), KEYS)
+    keys = [*KEYS, "model"]
+    voices = F.array(*[F.struct(F.lit(m).alias("model"), model_tags(F.col("words"), m).alias("tags")) for m in MODELS])
+    gold = sentences.select(*KEYS, F.explode(F.array(*map(F.lit, MODELS))).alias("model"),
+                            gold_tags(F.col("words")).alias("tags"))
+    said = sentences.select(*KEYS, "corpus", F.inline(voices)).where("corpus <> 'de' OR model <> 1")
+    pairs = align_predictions(said, gold, keys)
     same = F.filter(F.zip_with("pred", "gold", lambda p, g: p == g), lambda x: x)
-    return pairs.select(*KEYS, F.size(same).alias("same"), F.size("gold").alias("n"))
+    return pairs.select(*keys, F.size(same).alias("same"), F.size("gold").alias("n"))
 
 
 # The labelling job over rule sentences, in chunks: annotator state starts anew per chunk.
@@ -270,7 +275,7 @@ _CHAIN = f"""
         SELECT doc_id, generate_subscripts(ss, 1) - 1 AS sent_no, list_filter(
             regexp_split_to_array(unnest(ss), '\\s+'), lambda x: x <> '') AS w
         FROM ({RULE_SENTENCES})) WHERE len(w) > 0),
-    rtok AS (SELECT doc_id, sent_no, unnest(w) AS token, unnest(cs) AS chunk,
+    rtok AS MATERIALIZED (SELECT doc_id, sent_no, unnest(w) AS token, unnest(cs) AS chunk,
         generate_subscripts(w, 1) - 1 AS pos FROM rwords)"""
 
 
@@ -278,7 +283,7 @@ def _chain_sql(tokens: str, keys: str, final: str) -> str:
     """Vote and projection over ``tokens``(keys, chunk, pos, token); ``final`` reads ``tagged``."""
     on = f"{keys}, chunk"
     return f"""
-    spot AS (SELECT *, s AS b, s + length(token) AS e FROM (SELECT *, coalesce(sum(length(token) + 1)
+    spot AS MATERIALIZED (SELECT *, s AS b, s + length(token) AS e FROM (SELECT *, coalesce(sum(length(token) + 1)
         OVER (PARTITION BY {on} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
         0)::BIGINT AS s FROM {tokens})),
     heard AS (SELECT *, {MODEL_TYPE} AS type, {MODEL_SCORE} AS score
@@ -290,7 +295,7 @@ def _chain_sql(tokens: str, keys: str, final: str) -> str:
         round(avg(score), 6) AS score FROM runs WHERE type <> 'O' GROUP BY {on}, model, run),
     ball AS (SELECT {on}, b, e, label, count(*) AS n, avg(score) AS score,
         min(model * 10000000 + p) AS first FROM ents GROUP BY {on}, b, e, label),
-    won AS (SELECT {on}, b, e, min(first) AS first, max(n) AS n, (array_agg(struct_pack(l := label,
+    won AS MATERIALIZED (SELECT {on}, b, e, min(first) AS first, max(n) AS n, (array_agg(struct_pack(l := label,
         s := score) ORDER BY n DESC, score DESC, CASE WHEN n = 1 THEN first ELSE 0 END, label))[1]
         AS top FROM ball GROUP BY {on}, b, e),
     hit AS (SELECT {on}, pos, arg_max(CASE WHEN a.b = v.b THEN 'B-' ELSE 'I-' END || top.l, first)
@@ -335,8 +340,8 @@ _register_chain("label_documents_text", """, lines AS (SELECT doc_id, sent_no, s
 def _eval_sql(final):
     return f"""WITH {{parts}} head AS (SELECT corpus, split, sentence_id, doc_id, sent_no, w
         FROM corp WHERE split IN ('test', 'validation')
-        ORDER BY corpus, split, sentence_id LIMIT 101),
-    rtok AS (SELECT doc_id, sent_no, unnest(w) AS token, unnest(cs) AS chunk,
+        ),
+    rtok AS MATERIALIZED (SELECT doc_id, sent_no, unnest(w) AS token, unnest(cs) AS chunk,
         generate_subscripts(w, 1) - 1 AS pos FROM (SELECT *, {CHUNK_FOLD} AS cs FROM head)),
     {_chain_sql("rtok", "doc_id, sent_no", final)}"""
 
@@ -360,9 +365,9 @@ _EVAL = """, ptags AS (SELECT t.*, g.tag AS gold FROM tagged t JOIN gold g USING
 
 
 def evaluate_chain(spark, sf):
-    """The labelling job scored on the first 101 sentences of test and validation."""
+    """The labelling job scored on all sentences of test and validation."""
     keys = ["corpus", "split", "sentence_id"]
-    sentences = head_sentences(eval_union(corpus_sentences(spark, sf)), 101)
+    sentences = eval_union(corpus_sentences(spark, sf))
     found = label_sentences(sentences, rule_annotators, keys)
     scores = prf_overall(metric_counts(align_predictions(found, sentences, keys), []))
     return _rounded(scores).select("tp", "n_pred", "n_gold", "precision", "recall", "f1",
@@ -380,15 +385,18 @@ def _register_eval():
 _register_eval()
 
 
-def _letters_first(text):
-    """A user annotator: words that begin with a capital letter."""
-    found, at = [], 0
-    for word in text.split(" "):
-        if word[:1].isupper():
-            found.append({"start": at, "end": at + len(word), "word": word, "label": "p",
-                          "score": 0.9})
-        at += len(word) + 1
-    return found
+def _letters_first(texts):
+    """A user annotator of batches: words that begin with a capital letter."""
+    results = []
+    for text in texts:
+        found, at = [], 0
+        for word in text.split(" "):
+            if word[:1].isupper():
+                found.append({"start": at, "end": at + len(word), "word": word, "label": "p",
+                              "score": 0.9})
+            at += len(word) + 1
+        results.append(found)
+    return results
 
 
 @query(f"""WITH {_CHAIN.replace('FROM docs', 'FROM documents')}
@@ -400,6 +408,6 @@ def _letters_first(text):
 def _annotate(spark, sf):
     """A Python callable run over every chunk by the workers."""
     chunks = chunk_rows(sentence_rows(documents(spark, sf).select("doc_id", "text")))
-    spans = annotate(chunks, [lambda: _letters_first], spread=KEYS)
+    spans = annotate(chunks, [lambda: _letters_first])
     return spans.select(*KEYS, "chunk_no", F.inline("spans")).select(
         *KEYS, "chunk_no", "word", "start")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelkit import functions as L
-from labelkit.operators import (drop_columns, encode_with_vocabulary, filter_tags, label_lookup,
-                                map_batched, pad_length)
+from labelkit.operators import (batch_rows, drop_columns, encode_with_vocabulary, filter_tags,
+                                label_lookup, map_batched, pad_length)
 from labelkit.operators import distinct_labels as distinct
-from labelkit.plans.bridge import (tagged_sentences, doc_sentences, doc_tokens, documents,
-                                   gold_tags, model_tags, table, token_type)
+from labelkit.plans.bridge import (MODELS, corpus_sentences, doc_sentences, doc_tokens, documents,
+                                   gold_tags, model_tags, table, tagged_sentences, token_type)
 from labelkit.plans.registry import query
 from labelkit.schemas import BSNLP, BSNLP_TO_CANON, CANON, CNEC, MEDIEVAL, MEDIEVAL_CANON
 
@@ -191,21 +191,21 @@ def align_first_vs_rest(spark, sf):
             .where(F.col("pos").isNotNull()))
 
 
-@query("""SELECT doc_id, sent_no, string_agg(g.id::VARCHAR, ' ' ORDER BY g.pos) AS gold,
+@query("""SELECT doc_id, sent_no, s.model, string_agg(g.id::VARCHAR, ' ' ORDER BY g.pos) AS gold,
         string_agg((list_position(['O','B-p','I-p','B-i','I-i','B-g','I-g'], s.tag) - 1)::VARCHAR,
             ' ' ORDER BY g.pos) AS pred
-    FROM ids g JOIN (SELECT * FROM said WHERE model = 0) s USING (doc_id, sent_no, pos)
-    WHERE g.id <> 0 GROUP BY doc_id, sent_no""")
+    FROM ids g JOIN said s USING (doc_id, sent_no, pos)
+    WHERE g.id <> 0 GROUP BY doc_id, sent_no, s.model""")
 def mask_ignored(spark, sf):
-    """Positions whose gold label counts; ``O`` is set to be ignored here."""
+    """Positions whose gold label counts, per annotator; ``O`` is set to be ignored here."""
     gold = F.transform(L.encode_labels(F.col("tags"), CANON),
                        lambda i: F.when(i == 0, -100).otherwise(i))
-    pred = L.encode_labels(model_tags(F.col("words"), 0), CANON)
-    kept = L.mask_ignored(pred, gold)
-    return (_sentences(spark, sf).select("doc_id", "sent_no", kept.alias("_k"))
-            .where(F.size("_k") > 0)
-            .select("doc_id", "sent_no", _text(F.col("_k.gold").cast("array<string>")).alias("gold"),
-                    _text(F.col("_k.pred").cast("array<string>")).alias("pred")))
+    kept = F.array(*[F.struct(F.lit(m).alias("model"), L.mask_ignored(
+        L.encode_labels(model_tags(F.col("words"), m), CANON), gold).alias("k")) for m in MODELS])
+    return (_sentences(spark, sf).select("doc_id", "sent_no", F.inline(kept))
+            .where(F.size("k") > 0)
+            .select("doc_id", "sent_no", "model", _text(F.col("k.gold").cast("array<string>")).alias("gold"),
+                    _text(F.col("k.pred").cast("array<string>")).alias("pred")))
 
 
 @query("""SELECT doc_id, sent_no, array_to_string(list_transform(range(1, 33),
@@ -221,18 +221,17 @@ def pad_truncate(spark, sf):
         _text(L.attention_mask(labels, 32).cast("array<string>")).alias("mask"))
 
 
-@query("""SELECT corpus, doc_id, sent_no, md5(array_to_string(list_transform(range(1, 1 + widest),
-        lambda i: coalesce(ls[i], -100)), ' ')) AS labels
-    FROM (SELECT corpus, doc_id, sent_no, list(id ORDER BY pos) AS ls FROM ids
-          WHERE split = 'test' GROUP BY corpus, doc_id, sent_no),
-        (SELECT max(len(w)) AS widest FROM wds WHERE split = 'test')""")
+@query("""SELECT corpus, split, sentence_id, md5(array_to_string(ls, ' ') || repeat(' -100',
+        (max(len(ls)) OVER (PARTITION BY corpus, split, sentence_id // 32) - len(ls))::INT)) AS labels
+    FROM (SELECT corpus, split, sentence_id, list(id ORDER BY pos) AS ls
+        FROM ids JOIN corp USING (corpus, split, doc_id, sent_no) GROUP BY corpus, split, sentence_id)""")
 def pad_labels(spark, sf):
-    """Test labels padded to the longest sentence of the test set."""
-    batch = doc_sentences(spark, sf).where((F.col("split") == "test") & (F.size("words") > 0))
-    labels = L.encode_labels(gold_tags(F.col("words")), CANON)
-    padded = L.pad_truncate(labels, pad_length(batch, "words"), F.lit(-100))
-    return batch.select("corpus", "doc_id", "sent_no",
-                        F.md5(_text(padded.cast("array<string>"))).alias("labels"))
+    """Labels padded to the longest sentence of their batch of 32."""
+    batches = batch_rows(corpus_sentences(spark, sf), 32, ["corpus", "split"], "sentence_id", dense=True)
+    wide = pad_length(batches, "tags", ["corpus", "split", "batch"])
+    padded = L.pad_truncate(L.encode_labels(F.col("tags"), CANON), F.col("width"), F.lit(-100))
+    return wide.select("corpus", "split", "sentence_id",
+                       F.md5(_text(padded.cast("array<string>"))).alias("labels"))
 
 
 @query("""SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS label

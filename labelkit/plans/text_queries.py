@@ -142,10 +142,14 @@ def shift_spans(spark, sf):
         "doc_id", "chunk_no", "ord", "_s.start", "_s.end")
 
 
-@query("SELECT doc_id, array_to_string(lines, ' ') AS text FROM pages_text")
+@query("""SELECT doc_id, lost, CASE WHEN lost = 0 THEN array_to_string(lines, ' ') END AS text
+    FROM pages_text, (VALUES (0), (9)) v(lost)""")
 def page_xml_text(spark, sf):
-    return documents(spark, sf).select(
-        "doc_id", L.page_xml_text(page_xml(F.col("text"))).alias("text"))
+    """Every page whole and cut short: the text of one, nothing of the other."""
+    pages = documents(spark, sf).select("doc_id", page_xml(F.col("text")).alias("page"),
+                                        F.explode(F.array(F.lit(0), F.lit(9))).alias("lost"))
+    whole = F.left("page", F.length("page") - F.col("lost"))
+    return pages.select("doc_id", "lost", L.page_xml_text(whole).alias("text"))
 
 
 @query("""SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no
@@ -191,9 +195,15 @@ def output_name(spark, sf):
         L.output_name(path).alias("name"), L.flat_output_name(path).alias("flat_name"))
 
 
-@query("SELECT doc_id, sent_no, sent FROM wds WHERE len(w) > 0", name="filter_blank")
+@query(r"""SELECT doc_id, sent_no, sent || gap AS sent FROM (
+        SELECT doc_id, sent_no, sent, w, '' AS gap FROM wds
+        UNION ALL SELECT doc_id, sent_no, '', [], chr(160) || ' ' || chr(9) FROM wds) WHERE len(w) > 0""",
+       name="filter_blank")
 def _filter_blank(spark, sf):
-    return filter_blank(doc_sentences(spark, sf).select("doc_id", "sent_no", "sent"), "sent")
+    """Every sentence followed by a line of blanks, which has to go."""
+    both = F.array(F.col("sent"), F.lit("\u00a0 \t"))
+    rows = doc_sentences(spark, sf).select("doc_id", "sent_no", F.explode(both).alias("sent"))
+    return filter_blank(rows, "sent")
 
 
 @query("""SELECT doc_id, line_no, line FROM (

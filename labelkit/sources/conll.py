@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelkit.functions.arrays import let
 from labelkit.functions.tags import map_types
-from labelkit.functions.text import is_blank
+from labelkit.functions.text import BLANKS, is_blank
 from labelkit.operators.joins import positional_zip
 from labelkit.operators.numbering import (file_names, number_file_lines, number_lines,
-                                          sentence_boundaries)
+                                          sentence_lines)
 from labelkit.schemas import LAYOUTS, Layout
 
 _CSV_SCHEMA = "f0 string, f1 string, f2 string, f3 string, f4 string"
@@ -62,7 +63,7 @@ def is_boundary(line: Column, layout: Layout) -> Column:
 def _fields(line: Column, layout: Layout) -> Column:
     if layout.quoted:
         row = F.from_csv(line, F.lit(_CSV_SCHEMA), {"sep": layout.sep, "escape": '"'})
-        return F.array(*[row[f"f{i}"] for i in range(layout.width)])
+        return let(row, lambda r: F.array(*[r[f"f{i}"] for i in range(layout.width)]))
     return F.split(line, layout.sep)
 
 
@@ -75,45 +76,56 @@ def _parsed(lines: DataFrame, layout: Layout) -> DataFrame:
     return lines.withColumn("_f", _fields(F.col("line"), layout))
 
 
-def _complete(layout: Layout) -> Column:
+def _complete(fields: Column, layout: Layout) -> Column:
     """True where a line has the fields its layout needs."""
     needed = [layout.token, layout.tag, *layout.extras.values()]
-    return F.get("_f", F.lit(max(needed))).isNotNull()
+    return F.get(fields, F.lit(max(needed))).isNotNull()
 
 
 def read_conll(spark: SparkSession, path: str | list[str], layout: str,
                recursive: bool = False) -> DataFrame:
     """Sentence rows ``file, split, sentence_id, tokens, tags`` and the layout's other arrays.
 
-    ``sentence_id`` is dense per file. Files may be split anywhere. Lines
-    with too few fields are left to ``conll_rejects``. Folder columns such as
-    ``split=train`` are kept.
+    ``sentence_id`` is dense per file. Files may be split anywhere; the task that reads
+    a split puts its sentences together, and only those cut by a split are exchanged.
+    A file without blank lines is one sentence and so one row. Lines with too few
+    fields are left to ``conll_rejects``; a sentence of such lines alone has no row.
+    Folder columns such as ``split=train`` are kept.
     """
     spec = LAYOUTS[layout]
     files = list_files(spark, path, recursive)
-    rows = sentence_boundaries(_body(read_lines(spark, path, recursive), spec), files,
-                               is_boundary(F.col("line"), spec))
-    columns = {"tokens": F.get("_f", F.lit(spec.token)),
-               "tags": F.rtrim(F.get("_f", F.lit(spec.tag)))}
-    columns |= {name: F.get("_f", F.lit(at)) for name, at in spec.extras.items()}
+    rows = sentence_lines(_body(read_lines(spark, path, recursive), spec), files,
+                          is_boundary(F.col("line"), spec))
+    parsed = F.filter(F.transform("lines", lambda x: _fields(x, spec)),
+                      lambda f: _complete(f, spec))
+    columns = {"tokens": lambda f: F.get(f, F.lit(spec.token)),
+               "tags": lambda f: F.rtrim(F.get(f, F.lit(spec.tag)), F.lit(BLANKS))}
+    for name, at in spec.extras.items():
+        columns[name] = lambda f, at=at: F.get(f, F.lit(at))
     if spec.number is not None:
-        columns["numbers"] = F.get("_f", F.lit(spec.number)).cast("bigint")
-    ordered = F.sort_array(F.collect_list(F.struct(
-        "block_no", "line_id", *[c.alias(name) for name, c in columns.items()])))
-    sentences = (_parsed(rows, spec).where(_complete(spec)).groupBy("file_key", "sentence_id")
-                 .agg(ordered.alias("_s")).join(file_names(files), "file_key"))
+        columns["numbers"] = lambda f: F.get(f, F.lit(spec.number)).cast("bigint")
+
+    def arrays(fields: Column) -> Column:
+        return F.struct(*[F.transform(fields, _one(c)).alias(name) for name, c in columns.items()])
+
+    sentences = (rows.select("file_key", "sentence_id", let(parsed, arrays).alias("_s"))
+                 .where(F.size("_s.tokens") > 0).join(file_names(files), "file_key"))
     folders = files.columns[3:]
     split = [] if "split" in folders else [assign_split(F.col("file")).alias("split")]
     return sentences.select("file", *folders, *split, "sentence_id",
                             *[F.col("_s")[name].alias(name) for name in columns])
 
 
+def _one(field: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda f: field(f)
+
+
 def conll_rejects(spark: SparkSession, path: str | list[str], layout: str) -> DataFrame:
     """Token lines with too few fields: ``file, line_no, line``."""
     spec = LAYOUTS[layout]
     files = list_files(spark, path)
     numbered = number_file_lines(read_lines(spark, path), files)
-    short = ~is_boundary(F.col("line"), spec) & ~_complete(spec)
+    short = ~is_boundary(F.col("line"), spec) & ~_complete(F.col("_f"), spec)
     return (_parsed(_body(numbered, spec), spec).where(short)
             .join(file_names(files), "file_key").select("file", "line_no", "line"))
 
@@ -219,6 +231,14 @@ def convert_cnec_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
             .select("file", "line_no", line.alias("line")))
 
 
+def write_cnec_lines(lines: DataFrame, files: DataFrame, path: str) -> None:
+    """Write the converted lines as text, a folder ``file_name=...`` per file, in line order."""
+    converted = convert_cnec_lines(lines, files)
+    (converted.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
+     .select(F.col("file").alias("file_name"), F.col("line").alias("value"))
+     .write.partitionBy("file_name").text(path))
+
+
 def read_annotations(docs: DataFrame, doc: str = "member", text: str = "text") -> DataFrame:
     """Dictionary entries ``doc, surface, type`` of annotation files given as text.
 

@@ -51,7 +51,8 @@ def main(sf: str, names: list[str]) -> None:
 
     import __spark_entry__ as entry
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.driver.memory", "12g")
              .config("spark.driver.maxResultSize", "4g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
