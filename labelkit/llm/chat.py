@@ -120,16 +120,21 @@ READ = ("conv bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, lo
         "formatted_chars bigint, valid boolean")
 
 
-def read_back(segments: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
+def read_back(segments: DataFrame, template: ChatTemplate = ChatTemplate(),
+              in_order: bool = False) -> DataFrame:
     """Roles and texts recovered from the segments, as digests per conversation.
 
+    ``in_order``: the segments come straight from ``format_turns``, conversation after
+    conversation; others are brought into that order first.
+
     ``conv, n_turns, turns_sha256`` (role, line end, text, line end per turn),
     ``loss_chars, loss_sha256`` (texts under the loss mask), ``formatted_chars, valid``.
     Digests grow segment by segment; segments of a conversation never meet in memory.
     """
-    ordered = (segments.select(F.col("conv").cast("string").alias("conv"), "seq", "segment", "value",
-                               "loss", "ok", "last")
-               .repartition("conv").sortWithinPartitions("conv", "seq", "segment"))
+    ordered = segments.select(F.col("conv").cast("string").alias("conv"), "seq", "segment", "value",
+                              "loss", "ok", "last")
+    if not in_order:
+        ordered = ordered.repartition("conv").sortWithinPartitions("conv", "seq", "segment")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turns, loss = hashlib.sha256(), hashlib.sha256()

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelkit.folders import saved
 from labelkit.llm.common import fresh
 
 ORDER = 4
@@ -153,16 +154,22 @@ def fit(labelled: DataFrame, per_language: int = 400, calibration: int = 100, sl
         doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModels:
     """Models of all languages that label a text.
 
-    Bounded sample: of each language the ``per_language`` texts whose ids hash lowest, whole,
-    are counted; the next ``calibration`` texts set the limit, which is ``slack`` nats above
+    Bounded sample: of each language ``per_language`` texts, whole, drawn by a hash of their
+    ids, are counted; the next ``calibration`` texts set the limit, which is ``slack`` nats above
     their highest cross-entropy. Counting is spread over tasks; counts of the sample's
     n-grams come to the driver. Rows without text or label are left out; no labelled
     rows give models of no language.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    chosen = (labelled.select(F.col(lang).alias("lang"), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
-              .where("lang is not null and text is not null")
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language + calibration))
+    wanted = per_language + calibration
+    order = Window.partitionBy("lang").orderBy("draw", "id", "text")
+    rows = (labelled.select(F.col(lang).alias("lang"), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
+            .where("lang is not null and text is not null").withColumn("draw", F.xxhash64("lang", "id")))
+    # a language with many rows first thins out to about four times those wanted, where
+    # they are read, so that no task is sent more, however many tasks read them
+    counts = saved(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = F.lit(4.0 * wanted + 100) / F.col("n")
+    chosen = (rows.join(counts, "lang").where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
+              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,7 +215,8 @@ def predict_language(models: LanguageModels, text: Column, most_chars: int = 1 <
     ``lang`` is a label of the models, or ``und`` for null texts and texts without a letter (score
     0, rejected; so is everything if the models know no language). ``score`` is the
     posterior of the language over at most 50 characters' worth of evidence;
-    ``rejected``: the cross-entropy ``nats`` is above the language's limit.
+    ``rejected``: the cross-entropy ``nats`` is above the language's limit, to which short
+    texts get an allowance.
     """
 
     @F.pandas_udf(PREDICTED)
@@ -240,7 +248,8 @@ def _predict(models: LanguageModels, texts: list[str | None]) -> pd.DataFrame:
     out.loc[known, "lang"] = np.array(models.langs, dtype=object)[best[known]]
     out.loc[known, "score"] = score[known]
     out.loc[known, "nats"] = low[known]
-    out.loc[known, "rejected"] = low[known] > models.limit[best[known]]
+    # the mean over few letters strays further: 6 nats over the root of their number
+    out.loc[known, "rejected"] = low[known] > models.limit[best[known]] + 6 / np.sqrt(letters[known])
     return out
 
 

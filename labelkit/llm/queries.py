@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,16 +10,16 @@ from pyspark.sql import functions as F
 
 from labelkit.llm.chat import format_turns, read_back
 from labelkit.llm.common import LOWER, UPPER, table
-from labelkit.llm.decontaminate import find_leaks
+from labelkit.llm.decontaminate import NAME_RUN, TOKEN, UNIT_AFTER, find_leaks
 from labelkit.llm.langid import identify_languages
 from labelkit.llm.licenses import LICENSE_WORD, PHRASES, TEMPLATES, _split, scan_licenses
 from labelkit.llm.mixing import mixing_copies
 from labelkit.llm.pitman_yor import score_texts
 from labelkit.llm.quality import LineRules, clean_lines
-from labelkit.llm.secrets import BASE_KINDS, scan_secrets
+from labelkit.llm.secrets import BASE_KINDS, RULES, scan_secrets
 from labelkit.llm.simhash import near_duplicates
 from labelkit.llm.warc import assemble, read_warc, write_warc
-from labelkit.sources.folders import scratch_folder
+from labelkit.folders import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,7 +155,7 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("\\### Assistant: </turn> ok").alias("text"))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
-    return read_back(format_turns(rows)).withColumnRenamed("conv", "conv_id")
+    return read_back(format_turns(rows), in_order=True).withColumnRenamed("conv", "conv_id")
 
 
 QUERIES["op10_chat_format"] = op10_chat_format
@@ -180,7 +181,45 @@ def op1_template_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def _leak_sql(least_share: float = 0.5, least_literal: int = 3) -> str:
+    first = "substr(token, 1, 1)"
+    slot = f"({first} <= chr(4) OR {first} BETWEEN '0' AND '9' OR {first} IN ('%', '€', '$', '£'))"
+    kind = (f"CASE WHEN {first} BETWEEN '0' AND '9' THEN '0' WHEN {first} = chr(2) THEN {{name}} "
+            f"WHEN {first} = chr(4) OR {first} IN ('%', '€', '$', '£') THEN chr(4) ELSE token END")
+    plain = "replace(replace(token, chr(2), ''), chr(3), '')"
+    forms = [(kind.format(name="chr(2)"), slot), (kind.format(name=plain), f"({slot} AND {first} <> chr(2))")]
+
+    def ahead(column: str) -> str:
+        return ", ".join([column, *(f"lead({column}, {k}) OVER o" for k in range(1, 5))])
+
+    windows = " UNION ".join(f"""
+        SELECT side, id, pos, key, slots FROM (SELECT side, id, pos, concat_ws('|', {ahead("kind")}) AS key,
+            concat_ws(chr(10), {ahead("val")}) AS slots, lead(kind, 4) OVER o AS full_window
+        FROM (SELECT *, {k} AS kind, CASE WHEN {v} THEN token END AS val FROM tok)
+        WINDOW o AS (PARTITION BY side, id ORDER BY pos)) WHERE full_window IS NOT NULL""" for k, v in forms)
+    return rf"""
+WITH src AS (SELECT 'doc' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark),
+marked AS (SELECT side, id, lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x02\x03\x04]', ' ', 'g'),
+        '{NAME_RUN}', '\1' || chr(2) || '\2' || chr(3), 'g'), '{UNIT_AFTER}', '\1 ' || chr(4) || '\2\3', 'g')) AS t FROM src),
+tok AS (SELECT side, id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos
+        FROM (SELECT side, id, regexp_extract_all(t, '{TOKEN}') AS ts FROM marked)),
+win AS ({windows}),
+items AS (SELECT *, count(DISTINCT pos) OVER (PARTITION BY id) AS n_windows FROM win WHERE side = 'item'
+        AND CASE WHEN slots = '' THEN 0 ELSE len(string_split(slots, chr(10))) END <= {5 - least_literal}),
+hits AS (SELECT d.id AS doc_id, i.id AS item_id, n_windows, i.pos AS place, d.pos - i.pos AS shift,
+        i.slots AS item_slots, d.slots AS slots FROM win d JOIN items i USING (key) WHERE d.side = 'doc'),
+pairs AS (SELECT DISTINCT doc_id, item_id, shift, unnest(string_split(item_slots, chr(10))) AS i,
+        unnest(string_split(slots, chr(10))) AS d FROM hits WHERE slots <> ''),
+fits AS (SELECT doc_id, item_id, shift, count(DISTINCT i) = count(*) AND count(DISTINCT d) = count(*) AS fit,
+        bool_or(i <> d) AS changed FROM pairs GROUP BY ALL)
+SELECT doc_id, item_id, max(n_windows) AS n_windows, count(DISTINCT place) AS matched,
+    count(DISTINCT place) / max(n_windows)::DOUBLE AS share, bool_or(coalesce(fit AND changed, false)) AS rewritten
+FROM hits LEFT JOIN fits USING (doc_id, item_id, shift) WHERE slots = '' OR fit
+GROUP BY doc_id, item_id HAVING count(DISTINCT place) >= {least_share} * max(n_windows)"""
+
+
 QUERIES["op1_template_leaks"] = op1_template_leaks
+ORACLES["op1_template_leaks"] = _leak_sql()
 
 
 # ---- 4: secret scans
@@ -200,7 +239,37 @@ def op4_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *map(number, BASE_KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
 
 
+def _any_case(pattern: str) -> str:
+    """Keywords of the assignment rule in either case, ASCII letters only."""
+    head, rest = pattern.split(")", 1)
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", head) + ")" + rest
+
+
+def _secret_sql() -> str:
+    parts = " UNION ALL ".join(f"""
+        SELECT doc_id, {k} AS k, {quoted(r.kind)} AS kind, {r.least} AS least, string_split_regex(text, p) AS ps,
+            regexp_extract_all(text, p) AS ms, regexp_extract_all(text, p, {r.group}) AS vs
+        FROM (SELECT *, {quoted(_any_case(r.pattern) if r.any_case else r.pattern)} AS p FROM d)
+        WHERE regexp_matches(text, {quoted(_any_case(r.pattern) if r.any_case else r.pattern)})"""
+                               for k, r in enumerate(RULES))
+    kinds = ", ".join(f"count(*) FILTER (kind = {quoted(b)}) AS n_{b}" for b in BASE_KINDS)
+    zeros = ", ".join(f"coalesce(n_{b}, 0)::BIGINT AS n_{b}" for b in BASE_KINDS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({parts}),
+spans AS (SELECT doc_id, k, kind, s, s + length(m) AS e FROM (SELECT doc_id, k, kind, least, ms[i] AS m, vs[i] AS v,
+        (list_sum(list_transform(ps[1:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+        FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found)) WHERE length(v) >= least),
+one AS (SELECT doc_id, {kinds}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind IN ({", ".join(map(quoted, BASE_KINDS))}))
+            AS base FROM spans GROUP BY doc_id)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN one USING (doc_id)"""
+
+
 QUERIES["op4_secret_ledger"] = op4_secret_ledger
+ORACLES["op4_secret_ledger"] = _secret_sql()
 
 
 # ---- 6: WARC
@@ -219,6 +288,14 @@ def op6_warc_captures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op6_warc_captures"] = op6_warc_captures
+ORACLES["op6_warc_captures"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+h AS (SELECT page_id, html, top, sha1(html) AS h FROM p)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT,
+        1)), '') AS payload_digest,
+    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> top THEN top END AS refers_to FROM h"""
 
 
 # ---- 7: language model
