@@ -30,7 +30,11 @@ class LineRules:
     boilerplate: str = r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|(?:uses?|accept) cookies|enable javascript|click here|subscribe to our|lorem ipsum|copyright ©|©"
     #: Share of symbol characters from which a line is markup rather than prose.
     symbol_share: float = 0.1
-    shouting: str = r"^[^a-zß-öø-ÿ]*[A-Z]{3}[^a-zß-öø-ÿ]*!+[^a-zß-öø-ÿ]*$"
+    #: No small letter, capitals in a row, and a mark like "!": each searched for by itself,
+    #: since one pattern for all three would go back over long lines again and again.
+    small_letter: str = r"[a-zß-öø-ÿ]"
+    capitals: str = r"[A-Z]{3}"
+    shout: str = "!"
     most_lost: float = 0.5
 
 
@@ -42,7 +46,8 @@ def line_verdict(line: Column, rules: LineRules = LineRules()) -> Column:
             .when((F.size(F.filter(words(line), lambda w: w.isin(*rules.separators))) >= F.greatest(
                 F.lit(2), F.ceil(rules.menu_share * n_words))) | line.rlike(rules.menu_words), "navigation")
             .when(line.rlike(rules.boilerplate), "boilerplate")
-            .when(line.rlike(rules.shouting), "shouting")
+            .when(F.contains(line, F.lit(rules.shout)) & ~line.rlike(rules.small_letter)
+                  & line.rlike(rules.capitals), "shouting")
             .when((n_words < rules.long_line) & ~line.rlike(rules.ending), "punctuation"))
 
 

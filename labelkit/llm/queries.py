@@ -132,7 +132,8 @@ part AS (SELECT doc_id, x, len(regexp_extract_all(x, '{W}')) AS n, length(regexp
 gone AS (SELECT doc_id, sum(chars) AS chars_lost, count(*) AS lines_lost FROM part
         WHERE symbols > {r.symbol_share} * chars OR seps >= greatest(2, ceil({r.menu_share} * n))
         OR regexp_matches(x, {quoted(r.menu_words)}) OR regexp_matches(x, {quoted(r.boilerplate)})
-        OR regexp_matches(x, {quoted(r.shouting)}) OR (n < {r.long_line} AND NOT regexp_matches(x, {quoted(r.ending)}))
+        OR (contains(x, {quoted(r.shout)}) AND NOT regexp_matches(x, {quoted(r.small_letter)})
+            AND regexp_matches(x, {quoted(r.capitals)})) OR (n < {r.long_line} AND NOT regexp_matches(x, {quoted(r.ending)}))
         GROUP BY doc_id),
 e AS (SELECT doc_id, len(ws)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
