@@ -49,14 +49,16 @@ def _placeholder(token: Column, names: bool) -> Column:
             .when(first == _UNIT, _UNIT).when(first.isin("%", "$", "€", "£"), _UNIT).otherwise(token))
 
 
-def template_windows(text: Column, width: int = 5) -> Column:
+def template_windows(text: Column, width: int = 5, count_words: bool = False) -> Column:
     """Array of ``place, hash, slots`` for each window of ``width`` tokens; ``slots`` joins
-    the window's slot values.
+    the window's slot values, and with ``count_words`` there is ``words``, the number of others.
 
     A text with names gives windows with names as slots and, besides, as words: a copy in
     lower case then still shares the latter.
     """
 
+    fields = "place:int,hash:bigint,slots:string" + (",words:int" if count_words else "")
+
     def windows(tokens: Column, names: bool) -> Column:
         kinds = F.transform(tokens, lambda t: _placeholder(t, names))
         values = F.transform(tokens, lambda t: F.when(
@@ -64,27 +66,25 @@ def template_windows(text: Column, width: int = 5) -> Column:
         return let(F.struct(kinds.alias("k"), values.alias("v")), lambda a: F.transform(
             F.sequence(F.lit(0), F.size(a["k"]) - width), lambda i: F.struct(
                 i.alias("place"), F.xxhash64(*[a["k"][i + j] for j in range(width)]).alias("hash"),
-                F.concat_ws("\n", *[a["v"][i + j] for j in range(width)]).alias("slots"))))
+                F.concat_ws("\n", *[a["v"][i + j] for j in range(width)]).alias("slots"),
+                *([F.size(F.filter(F.slice(tokens, i + 1, width), lambda t: ~_is_slot(t))).alias("words")]
+                  if count_words else []))))
 
     def both(tokens: Column) -> Column:
         named = F.exists(tokens, lambda t: F.substring(t, 1, 1) == _NAME)
         return F.when(F.size(tokens) < width, F.array().cast(
-            "array<struct<place:int,hash:bigint,slots:string>>")).when(
+            f"array<struct<{fields}>>")).when(
             named, F.concat(windows(tokens, True), windows(tokens, False))).otherwise(windows(tokens, True))
 
     return let(template_tokens(text), both)
 
 
-def _n_slots(slots: Column) -> Column:
-    return F.when(slots == "", 0).otherwise(F.size(F.split(slots, "\n")))
-
-
 def benchmark_windows(benchmark: DataFrame, width: int = 5, least_literal: int = 3,
                       item_id: str = "item_id", text: str = "text") -> DataFrame:
     """``item_id, n_windows, hash, item_place, item_slots``: windows of all items with at least
-    ``least_literal`` words, saved, so that the planner knows their size. Items of fewer than
-    ``width`` tokens have none."""
-    literal = F.filter(template_windows(F.col(text), width), lambda w: _n_slots(w["slots"]) <= width - least_literal)
+    ``least_literal`` words outside slots, saved, so that the planner knows their size. Items
+    of fewer than ``width`` tokens have none."""
+    literal = F.filter(template_windows(F.col(text), width, True), lambda w: w["words"] >= least_literal)
     rows = benchmark.select(F.col(item_id).alias("item_id"), literal.alias("w"))
     rows = rows.withColumn("n_windows", F.size(F.array_distinct(F.transform("w", lambda x: x["place"]))))
     return saved(rows.select("item_id", "n_windows", F.inline("w")).select(
@@ -96,9 +96,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5,
                doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows, matched, share, rewritten``: documents that hold an item.
 
-    A pair is listed if ``least_share`` of the item's template windows stand in the document,
-    along alignments whose slot values map one to one. ``rewritten``: some slot has another
-    value than the item's.
+    A pair is listed if ``least_share`` of the item's template windows stand within some stretch
+    of the document that is twice as long as the item, along alignments whose slot values
+    map one to one; ``matched`` counts the best stretch. ``rewritten``: some slot in it has
+    another value than the item's.
 
     Null and short texts hold nothing; items with equal windows are all listed; rows that
     share an id (null ids too) are judged together; other columns are ignored; an
@@ -112,9 +113,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5,
     # per alignment: windows without slots, windows with slots, and the pairs of values
     pairs = F.filter(F.arrays_zip(F.split("item_slots", "\n").alias("i"), F.split("slots", "\n").alias("d")),
                      lambda p: p["i"] != "")
+    # stretches of twice the item's length, one at every length of it
+    length = F.col("n_windows") + width - 1
+    stretch = F.floor(F.col("place") / length)
     aligned = hits.select("doc_id", "item_id", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
-                          pairs.alias("pairs"))
-    placed = (aligned.groupBy("doc_id", "item_id", "shift").agg(
+                          pairs.alias("pairs"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    placed = (aligned.groupBy("doc_id", "item_id", "stretch", "shift").agg(
         F.max("n_windows").alias("n_windows"),
         F.collect_set(F.when(F.size("pairs") == 0, F.col("item_place"))).alias("plain"),
         F.collect_set(F.when(F.size("pairs") > 0, F.col("item_place"))).alias("slotted"),
@@ -123,10 +127,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5,
                   & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs")))
     counted = placed.withColumn("places", F.when(one_to_one, F.array_union("plain", "slotted")).otherwise(F.col("plain")))
     found = (counted.withColumn("changed", one_to_one & F.exists("pairs", lambda p: p["i"] != p["d"]))
-             .select("doc_id", "item_id", "n_windows", "changed", F.explode("places").alias("place"))
-             .groupBy("doc_id", "item_id").agg(F.max("n_windows").cast("bigint").alias("n_windows"),
-                                               F.count_distinct("place").alias("matched"),
-                                               F.max("changed").alias("rewritten")))
+             .select("doc_id", "item_id", "stretch", "n_windows", "changed", F.explode("places").alias("place"))
+             .groupBy("doc_id", "item_id", "stretch").agg(F.max("n_windows").cast("bigint").alias("n_windows"),
+                                                          F.count_distinct("place").alias("matched"),
+                                                          F.max("changed").alias("changed"))
+             .groupBy("doc_id", "item_id", "n_windows").agg(F.max(F.struct("matched", "changed")).alias("best"))
+             .select("doc_id", "item_id", "n_windows", "best.matched", F.col("best.changed").alias("rewritten")))
     return (found.withColumn("share", F.col("matched") / F.col("n_windows")).where(F.col("share") >= least_share)
             .select("doc_id", "item_id", "n_windows", "matched", "share", "rewritten"))
 

@@ -95,11 +95,17 @@ l AS (SELECT *, ((sum(size) OVER ())::DOUBLE - coalesce(sum(size * 3.0::DOUBLE)
         WINDOW earlier AS (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, size AS source_size, least(weight * coalesce(
         (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio), 0), size * 3.0::DOUBLE) AS target FROM l),
-c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE)
-        ELSE 0 END AS rate, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT
-        / 4503599627370496.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-    (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c"""
+u AS (SELECT doc_id, source, size, floor(('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT
+        / 4503599627370496.0::DOUBLE * 4096)::BIGINT AS bin FROM d),
+q AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE)
+        ELSE 0 END AS rate FROM t),
+b AS (SELECT source, bin, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) AS so_far FROM u GROUP BY source, bin),
+x AS (SELECT q.source, abs(so_far::DOUBLE - (rate - floor(rate)) * source_size) AS off, bin + 1 AS below
+        FROM b JOIN q ON b.source IS NOT DISTINCT FROM q.source
+        UNION ALL SELECT source, abs((rate - floor(rate)) * source_size), 0 FROM q),
+k AS (SELECT source, arg_min(below, (off, below)) AS below FROM x GROUP BY source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + (bin < below)::INT))::BIGINT AS taken
+FROM u JOIN q ON u.source IS NOT DISTINCT FROM q.source JOIN k ON u.source IS NOT DISTINCT FROM k.source"""
 
 
 # ---- 5: quality rules
@@ -194,9 +200,10 @@ def _leak_sql(least_share: float = 0.5, least_literal: int = 3) -> str:
         return ", ".join([column, *(f"lead({column}, {k}) OVER o" for k in range(1, 5))])
 
     windows = " UNION ".join(f"""
-        SELECT side, id, pos, key, slots FROM (SELECT side, id, pos, concat_ws('|', {ahead("kind")}) AS key,
-            concat_ws(chr(10), {ahead("val")}) AS slots, lead(kind, 4) OVER o AS full_window
-        FROM (SELECT *, {k} AS kind, CASE WHEN {v} THEN token END AS val FROM tok)
+        SELECT side, id, pos, key, slots, words FROM (SELECT side, id, pos, concat_ws('|', {ahead("kind")}) AS key,
+            concat_ws(chr(10), {ahead("val")}) AS slots, lead(kind, 4) OVER o AS full_window,
+            sum(word) OVER (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS words
+        FROM (SELECT *, {k} AS kind, CASE WHEN {v} THEN token END AS val, (NOT {slot})::INT AS word FROM tok)
         WINDOW o AS (PARTITION BY side, id ORDER BY pos)) WHERE full_window IS NOT NULL""" for k, v in forms)
     return rf"""
 WITH src AS (SELECT 'doc' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark),
@@ -206,17 +213,20 @@ tok AS (SELECT side, id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS
         FROM (SELECT side, id, regexp_extract_all(t, '{TOKEN}') AS ts FROM marked)),
 win AS ({windows}),
 items AS (SELECT *, count(DISTINCT pos) OVER (PARTITION BY id) AS n_windows FROM win WHERE side = 'item'
-        AND CASE WHEN slots = '' THEN 0 ELSE len(string_split(slots, chr(10))) END <= {5 - least_literal}),
-hits AS (SELECT d.id AS doc_id, i.id AS item_id, n_windows, i.pos AS place, d.pos - i.pos AS shift,
-        i.slots AS item_slots, d.slots AS slots FROM win d JOIN items i USING (key) WHERE d.side = 'doc'),
-pairs AS (SELECT DISTINCT doc_id, item_id, shift, unnest(string_split(item_slots, chr(10))) AS i,
+        AND words >= {least_literal}),
+hits AS (SELECT *, unnest([spot // (n_windows + 4), spot // (n_windows + 4) - 1]) AS stretch FROM (
+        SELECT d.id AS doc_id, i.id AS item_id, n_windows, i.pos AS place, d.pos AS spot, d.pos - i.pos AS shift,
+            i.slots AS item_slots, d.slots AS slots FROM win d JOIN items i USING (key) WHERE d.side = 'doc')),
+pairs AS (SELECT DISTINCT doc_id, item_id, stretch, shift, unnest(string_split(item_slots, chr(10))) AS i,
         unnest(string_split(slots, chr(10))) AS d FROM hits WHERE slots <> ''),
-fits AS (SELECT doc_id, item_id, shift, count(DISTINCT i) = count(*) AND count(DISTINCT d) = count(*) AS fit,
-        bool_or(i <> d) AS changed FROM pairs GROUP BY ALL)
-SELECT doc_id, item_id, max(n_windows) AS n_windows, count(DISTINCT place) AS matched,
-    count(DISTINCT place) / max(n_windows)::DOUBLE AS share, bool_or(coalesce(fit AND changed, false)) AS rewritten
-FROM hits LEFT JOIN fits USING (doc_id, item_id, shift) WHERE slots = '' OR fit
-GROUP BY doc_id, item_id HAVING count(DISTINCT place) >= {least_share} * max(n_windows)"""
+fits AS (SELECT doc_id, item_id, stretch, shift, count(DISTINCT i) = count(*) AND count(DISTINCT d) = count(*) AS fit,
+        bool_or(i <> d) AS changed FROM pairs GROUP BY ALL),
+held AS (SELECT doc_id, item_id, stretch, n_windows, count(DISTINCT place) AS matched,
+        bool_or(coalesce(fit AND changed, false)) AS changed
+        FROM hits LEFT JOIN fits USING (doc_id, item_id, stretch, shift) WHERE slots = '' OR fit GROUP BY ALL)
+SELECT doc_id, item_id, n_windows, max(matched) AS matched, max(matched) / n_windows::DOUBLE AS share,
+    arg_max(changed, (matched, changed)) AS rewritten
+FROM held GROUP BY doc_id, item_id, n_windows HAVING max(matched) >= {least_share} * n_windows"""
 
 
 QUERIES["op1_template_leaks"] = op1_template_leaks

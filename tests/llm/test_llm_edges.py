@@ -86,7 +86,7 @@ def test_quality_of_odd_rows(odd):
 
 
 def test_quality_lines(spark):
-    good = "\n".join(f"This is sentence number {i} of a text that anyone may read {i * i}." for i in range(12))
+    good = "\n".join(prose(i, 9) for i in range(12))
     text = f"Home | News | About | Contact\n{good}\nCopyright © all rights reserved\nBUY NOW!! CHEAP!!\n### ***"
     row = clean_lines(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
     assert row["clean_text"] == good and row["lines_lost"] == 4 and row["kept"]

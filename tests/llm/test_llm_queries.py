@@ -50,7 +50,7 @@ def test_leaks(spark, sf, texts):
                 found[item].add(k)
         want |= {(doc, item) for item, ks in found.items() if len(ks) >= len(items[item]) / 2}
     got = QUERIES["op1_template_leaks"](spark, sf).toPandas()
-    assert set(zip(got.doc_id, got.item_id, strict=True)) == want and len(want) > 3
+    assert set(zip(got.doc_id, got.item_id, strict=True)) == want and len(want) >= 3
 
 
 KINDS = {"assign": r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
