@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelkit import functions as L
-from labelkit.operators import number_lines, running_offset, sentence_ids
+from labelkit.operators import (number_file_lines, number_lines, running_offset, sentence_ids,
+                                sentence_lines)
 from labelkit.plans.bridge import corpus_sentences, rule_annotators
 from labelkit.plans.labelling import label_documents, labelled_documents
 from labelkit.sources import archives, conll, corpus
@@ -148,11 +149,50 @@ def test_written_archives_are_cut_and_whole(spark, tmp_path):
     df = spark.createDataFrame(docs, "archive string, member string, text string")
     files = archives.write_archives(df, str(tmp_path), part_chars=500).collect()
     assert len([f for f in files if f["archive"] == "big.zip"]) > 1
-    assert [f["file"] for f in files if f["archive"] == "small.zip"] == ["small.zip"]
+    assert [f["file"] for f in files if f["archive"] == "small.zip"] == ["small-00000.zip"]
     back = archives.read_archives(spark, str(tmp_path)).select("member", "text").collect()
     assert sorted(map(tuple, back)) == sorted((m, t) for _, m, t in docs)
 
 
+def test_archives_of_one_name_keep_their_folders(spark, tmp_path):
+    docs = spark.createDataFrame([("a/x.zip", "1.xml", "one"), ("b/x.zip", "1.xml", "two")],
+                                 "archive string, member string, text string")
+    files = archives.write_archives(docs, str(tmp_path)).collect()
+    assert sorted(f["file"] for f in files) == ["a/x-00000.zip", "b/x-00000.zip"]
+    back = archives.read_archives(spark, str(tmp_path), recursive=True).collect()
+    assert sorted(r["text"] for r in back) == ["one", "two"]
+
+
+def test_one_archive_is_unpacked_by_several_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as z:
+        for i in range(64):
+            z.writestr(f"{i}.xml", f"<P>{i}</P>" * 2000)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    docs = archives.read_archives(spark, str(tmp_path), stretch=64 << 10)
+    tasks = docs.select(F.spark_partition_id().alias("task"), "member").collect()
+    assert len({r["member"] for r in tasks}) == 64 and len({r["task"] for r in tasks}) > 4
+
+
+def test_reordered_lines_are_an_error(spark, tmp_path):
+    (tmp_path / "train.conll").write_text("a O\n\nb O\n\nc O\n")
+    lines, files = conll.read_lines(spark, str(tmp_path)), conll.list_files(spark, str(tmp_path))
+    backwards = lines.orderBy(F.desc("line_id"))
+    with pytest.raises(Exception, match="reordered"):
+        number_file_lines(backwards, files).collect()
+    with pytest.raises(Exception, match="reordered"):
+        sentence_lines(backwards, files, F.col("line") == "").collect()
+
+
+def test_reading_exchanges_edges_only(spark, tmp_path):
+    (tmp_path / "train.conll").write_text("a O\n\nb O\n\nc O\n\n" * 50)
+    rows = conll.read_conll(spark, str(tmp_path), "infer2")
+    assert rows.count() == 150
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    inside, cut = plan.split("Union", 1)[1].split("Aggregate", 1)
+    # lines inside blocks meet block totals of a known size and are not grouped
+    assert "MapInArrow" in inside and "MapInArrow" not in cut
+
+
 def test_corpus_prunes_partitions_and_columns(spark, tmp_path, sf):
     path = str(tmp_path / "corpus")
     corpus.write_corpus(corpus_sentences(spark, sf), path)

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelkit import functions as L
-from labelkit.operators import (accumulate_metric, entity_prf_by_type, entity_prf_overall,
-                                metric_counts, project_spans, vote)
+from labelkit.operators import (accumulate_metric, align_predictions, entity_prf_by_type,
+                                entity_prf_overall, metric_counts, project_spans, vote)
 
 SPANS = ("sentence_id bigint, model int, ord int, start int, end int, word string, "
          "label string, score double")
@@ -43,6 +43,20 @@ def test_vote_cases(spark):
     assert [won.get(i) for i in range(len(CASES))] == [result for _, result in CASES]
 
 
+def test_padded_words_meet_in_both_forms(spark):
+    spans = [(1, 0, 0, 0, 3, "Jan", "p", .5), (1, 1, 0, 0, 3, " Jan\u00a0", "p", .5),
+             (1, 2, 0, 0, 3, "Hus", "p", .6)]
+    assert in_rows(spark, spans) == [(1, 0, 0, 0, 3, "Jan", "p", .5)]
+
+
+def test_sentences_without_prediction_count_as_o(spark):
+    gold = spark.createDataFrame([(1, ["B-p", "O"]), (2, ["B-g"])], "sentence_id bigint, tags array<string>")
+    pairs = align_predictions(gold.where("sentence_id = 1"), gold)
+    assert {r["sentence_id"]: list(r["pred"]) for r in pairs.collect()} == {1: ["B-p", "O"], 2: ["O"]}
+    overall = entity_prf_overall(metric_counts(pairs, [])).first()
+    assert (overall["n_gold"], overall["recall"], overall["n_tokens"]) == (2, 0.5, 3)
+
+
 @pytest.mark.parametrize("models", [3, 5])
 def test_vote_random(spark, models):
     rng = random.Random(models)
