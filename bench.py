@@ -31,7 +31,7 @@ def in_files(spark: SparkSession, sf: str, to: str, files: int) -> str:
         if file.is_file() and file.stat().st_size > 1 << 20:
             spark.read.parquet(str(file)).repartition(files).write.parquet(f"{to}/{file.name}")
         else:
-            (Path(to) / file.name).symlink_to(file)
+            (Path(to) / file.name).symlink_to(file.resolve())
     return to
 
 

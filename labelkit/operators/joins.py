@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelkit.functions.arrays import let
 from labelkit.functions.spans import tag_words
 from labelkit.functions.text import ws_tokens
 
@@ -20,10 +21,11 @@ def gazetteer_tag(sentences: DataFrame, gazetteer: DataFrame, doc: str = "doc",
     """Types of each sentence's tokens in the dictionary of its own document, else ``O``.
 
     A dictionary becomes one map per document and meets sentence rows; tokens are looked
-    up inside the row and never shuffled. ``gazetteer`` has one row per surface.
+    up inside the row and never shuffled. Of several types of a surface in a document the
+    last by name counts. Entries are dealt out by document once, for both groupings.
     """
-    entries = gazetteer.groupBy(doc).agg(F.map_from_entries(
-        F.collect_list(F.struct("surface", "type"))).alias("_types"))
+    entries = (gazetteer.repartition(doc).groupBy(doc, "surface").agg(F.max("type").alias("type"))
+               .groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("surface", "type"))).alias("_types")))
     known = F.coalesce("_types", F.map_from_arrays(
         F.array().cast("array<string>"), F.array().cast("array<string>")))
     return (sentences.join(entries, doc, "left").withColumn("_types", known)
@@ -76,29 +78,32 @@ def positional_zip(text_lines: DataFrame, tag_lines: DataFrame,
 
 
 def project_spans(words: DataFrame, spans: DataFrame, keys: Sequence[str] = ("sentence_id",),
-                  rank: Sequence[str] = ("model", "ord"), width: int = 512) -> DataFrame:
+                  rank: Sequence[str] = ("model", "ord"), piece: int = 64) -> DataFrame:
     """Word rows ``keys, pos, token, start, end`` with the tag of the last span over them.
 
-    Words and spans are gathered by stretches of ``width`` characters, once each, and meet as
-    rows of arrays, so a very long sentence is shared by many tasks and no word is joined
-    back. A word stands in the stretch it begins in, a span in every stretch from which a
-    word under it may begin; words longer than a stretch reach back that far.
+    Words and spans of a sentence are gathered once each and meet as two arrays, so no word
+    is joined back; a sentence is one row, as long as it was where it came from. Inside
+    the row words are tagged ``piece`` at a time by the spans that reach them. Spans that
+    lie by ``keys`` already, such as those of ``vote`` after ``repartition(*keys)``, are not
+    shuffled again.
     """
     keys = list(keys)
-    first = F.floor(F.col("start") / width)
-    held = words.groupBy(*keys, first.alias("_at")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "pos", "token"))).alias("_words"))
-    # how many stretches back a word over the span's start may begin: a word's length
-    # is bounded by what the words table holds, so it is looked up there, per sentence
-    reach = words.groupBy(*keys).agg(F.max(F.floor((F.col("end") - F.col("start")) / width) + 1).alias("_reach"))
-    last = F.greatest(F.col("end") - 1, F.col("start"))
-    placed = (spans.join(reach, keys).withColumn("_at", F.explode(F.sequence(
-        F.greatest(first - F.col("_reach"), F.lit(0)), F.floor(last / width)))))
-    heard = placed.groupBy(*keys, "_at").agg(F.sort_array(F.collect_list(F.struct(
+    held = words.groupBy(*keys).agg(F.sort_array(F.collect_list(
+        F.struct("start", "end", "pos", "token"))).alias("_words"))
+    heard = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         F.struct(*rank).alias("rank"), "start", "end", "label"))).alias("_spans"))
     none = F.array().cast(heard.schema["_spans"].dataType)
-    tagged = (held.join(heard, [*keys, "_at"], "left")
-              .withColumn("_tags", tag_words(F.col("_words"), F.coalesce("_spans", none)))
+
+    def tags(ws: Column, found: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.size(ws) - 1, F.lit(piece)),
+                             lambda i: F.slice(ws, i + 1, F.lit(piece)))
+        return F.flatten(F.transform(pieces, lambda p: tag_words(p, F.filter(
+            found, lambda s: (s["end"] > F.get(p, F.lit(0))["start"])
+            & (s["start"] < F.array_max(F.transform(p, lambda w: w["end"])))))))
+
+    both = F.struct(F.col("_words").alias("w"), F.coalesce("_spans", none).alias("s"))
+    tagged = (held.join(heard, keys, "left")
+              .select(*keys, "_words", let(both, lambda e: tags(e["w"], e["s"])).alias("_tags"))
               .select(*keys, F.explode(F.arrays_zip("_words", "_tags")).alias("_p")))
     return tagged.select(*keys, "_p._words.pos", "_p._words.token", "_p._words.start",
                          "_p._words.end", F.col("_p._tags").alias("tag"))

@@ -82,7 +82,8 @@ def vote_best_score(spark, sf):
 @query(f"""SELECT {_VOTED}, first // 1000000 AS model, first % 1000000 AS ord
     FROM groups WHERE n_top > 1 OR score > 0.7""")
 def vote(spark, sf):
-    voted = vote_rows(span_rows(spark, sf), KEYS)
+    """Spans are dealt out by sentence once; both tallies of the vote find them there."""
+    voted = vote_rows(span_rows(spark, sf).repartition(*KEYS), KEYS)
     return voted.select(*KEYS, "model", "ord", "start", "end", "word", "label",
                         F.round("score", 4).alias("score"))
 
@@ -100,7 +101,7 @@ _PROJECTED = """SELECT p.doc_id, p.sent_no, p.pos, p.token, coalesce(max(tag), '
 @query(_PROJECTED)
 def project_spans(spark, sf):
     """Voted spans, as a table, joined onto a table of words."""
-    spans = vote_rows(span_rows(spark, sf), KEYS)
+    spans = vote_rows(span_rows(spark, sf).repartition(*KEYS), KEYS)
     return project(word_rows(spark, sf), spans, KEYS).select(*KEYS, "pos", "token", "tag")
 
 
@@ -126,7 +127,7 @@ def _gazetteer_tag(spark, sf):
     words = doc_sentences(spark, sf).where(F.size("words") > 0).select(
         *KEYS, F.transform("words", L.strip_final_period).alias("tokens"))
     entries = doc_sentences(spark, sf).select("doc_id", F.explode(F.array_distinct(F.filter(
-        "words", lambda w: w.rlike(r"^\p{Lu}")))).alias("surface")).distinct().withColumn(
+        "words", lambda w: w.rlike(r"^\p{Lu}")))).alias("surface")).withColumn(
         "type", token_type(F.col("surface")))
     sentences = gazetteer_tag(words, entries, "doc_id")
     pairs = F.arrays_zip(F.col("tokens").alias("token"),

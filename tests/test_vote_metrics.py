@@ -112,7 +112,7 @@ def test_project_spans_long_words_and_overlaps(spark):
         expected.append(tag)
     got = project_spans(
         spark.createDataFrame(words, "sentence_id bigint, pos int, token string, start int, end int"),
-        spark.createDataFrame(spans, SPANS), width=64).orderBy("pos").collect()
+        spark.createDataFrame(spans, SPANS), piece=3).orderBy("pos").collect()
     assert [r["tag"] for r in got] == expected
 
 
