@@ -19,7 +19,7 @@ from labelkit.llm.quality import LineRules, clean_lines
 from labelkit.llm.secrets import BASE_KINDS, RULES, scan_secrets
 from labelkit.llm.simhash import near_duplicates
 from labelkit.llm.warc import assemble, read_warc, write_warc
-from labelkit.folders import scratch_folder
+from labelkit.folders import saved, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -289,10 +289,10 @@ def op6_warc_captures(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_folder(spark, "warc")
     write_warc(table(spark, sf, "pages"), path)
     captures = assemble(read_warc(spark, path, payloads=False).drop("payload"))
-    one = captures.select(
+    one = saved(captures.select(
         "capture_id", F.regexp_extract("metadata.fields", r"pageId: (-?\d+)", 1).try_cast("bigint").alias("page_id"),
         F.col("main.payload_bytes").alias("payload_bytes"), F.col("main.payload_digest").alias("payload_digest"),
-        F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("to_id"), "copies")
+        F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("to_id"), "copies"), "captures")
     first = one.where("record_type = 'response'").select(F.col("capture_id").alias("to_id"), F.col("page_id").alias("refers_to"))
     return (one.join(first, "to_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))

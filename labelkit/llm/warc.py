@@ -186,10 +186,12 @@ def assemble(records: DataFrame) -> DataFrame:
     known = records.where(F.col("type").isin("response", "revisit", "request", "metadata"))
     is_main = F.col("type").isin("response", "revisit")
     named = known.select(F.col("record_id").alias("linked_id"), F.explode("concurrent_to").alias("to"), is_main.alias("of_main"))
+    # keys alone are looked up several times, so they are saved: payloads are read once
+    named = saved(named, "links")
     # a main record names the others; the others name the main record, or one another
     down = named.where("of_main").select(F.col("to").alias("linked_id"), F.col("linked_id").alias("main_id"))
     up = named.where("not of_main").select("linked_id", F.col("to").alias("main_id"))
-    direct = down.unionAll(up).groupBy("linked_id").agg(F.min("main_id").alias("main_id"))
+    direct = saved(down.unionAll(up).groupBy("linked_id").agg(F.min("main_id").alias("main_id")), "links")
     ids = known.select("record_id", is_main.alias("is_main"), *[c for c in known.columns if c != "record_id"])
     keyed = ids.join(direct, ids["record_id"] == direct["linked_id"], "left")
     further = direct.select(F.col("linked_id").alias("via"), F.col("main_id").alias("top"))
