@@ -150,26 +150,43 @@ def _kneser_ney(langs: list[str], key: np.ndarray, count: np.ndarray) -> tuple[d
     return keys, logp, contexts, back
 
 
-def fit(labelled: DataFrame, per_language: int = 400, calibration: int = 100, slack: float = 0.5,
+def fit(labelled: DataFrame, per_language: int = 400, calibration: int = 100, slack: float = 0.5, quantile: float = 0.95,
         doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModels:
     """Models of all languages that label a text.
 
     Bounded sample: of each language ``per_language`` texts, whole, drawn by a hash of their
     ids, are counted; the next ``calibration`` texts set the limit, which is ``slack`` nats above
-    their highest cross-entropy. Counting is spread over tasks; counts of the sample's
-    n-grams come to the driver. Rows without text or label are left out; no labelled
-    rows give models of no language.
+    the ``quantile`` of their cross-entropies (the highest of several never counts). A language
+    of fewer texts shares them out in the same proportion, and its only text by halves, so
+    every language has a limit; without calibration (0) none has. Counting is spread over tasks;
+    counts of the sample's n-grams come to the driver. Rows without a letter or a label are
+    left out; no labelled rows give models of no language.
     """
     wanted = per_language + calibration
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
     rows = (labelled.select(F.col(lang).alias("lang"), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
-            .where("lang is not null and text is not null").withColumn("draw", F.xxhash64("lang", "id")))
+            .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64("lang", "id")))
     # a language with many rows first thins out to about four times those wanted, where
     # they are read, so that no task is sent more, however many tasks read them
     counts = saved(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     share = F.lit(4.0 * wanted + 100) / F.col("n")
     chosen = (rows.join(counts, "lang").where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted))
+              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted)
+              .withColumn("m", F.count("*").over(Window.partitionBy("lang"))))
+    learned, checked = F.col("place") <= per_language, F.lit(False)
+    if calibration:
+        n_learned = F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(F.col("m") * per_language / wanted), F.col("m") - 1))
+        learned = F.col("place") <= n_learned
+        middle = F.greatest(F.lit(1), F.floor((F.length("text") + 1) / 2)).cast("int")
+        first, second = F.substring("text", F.lit(1), middle), F.substring("text", middle + 1, F.length("text"))
+        # an only text that is letters on one side alone is learned and checked whole
+        halves = first.rlike(r"\p{L}") & second.rlike(r"\p{L}")
+        alone = F.col("m") == 1
+        texts = F.when(alone, F.array(*[F.struct(F.when(halves, half).otherwise(F.col("text")).alias("text"), F.lit(use).alias("learned"))
+                                        for half, use in ((first, True), (second, False))])).otherwise(
+            F.array(F.struct("text", learned.alias("learned"))))
+        chosen = chosen.select("lang", F.inline(texts))
+        learned, checked = F.col("learned"), ~F.col("learned")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,7 +196,7 @@ def fit(labelled: DataFrame, per_language: int = 400, calibration: int = 100, sl
                     key, n = np.unique(grams(codes, ORDER)[who >= 0], return_counts=True)
                     yield pd.DataFrame({"lang": name, "gram": key.view(np.int64), "n": n.astype(np.int64)})
 
-    counted = (chosen.where(F.col("place") <= per_language).select("lang", "text")
+    counted = (chosen.where(learned).select("lang", "text")
                .mapInPandas(count, "lang string, gram bigint, n bigint")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(counted["lang"].unique())
@@ -199,8 +216,9 @@ def fit(labelled: DataFrame, per_language: int = 400, calibration: int = 100, sl
                 yield pd.DataFrame({"lang": part["lang"].to_numpy(), "nats": own})[letters > 0]
 
     if langs:
-        spread = (chosen.where((F.col("place") > per_language) & F.col("lang").isin(langs)).select("lang", "text")
-                  .mapInPandas(measure, "lang string, nats double").groupBy("lang").agg(F.max("nats").alias("top")))
+        spread = (chosen.where(checked & F.col("lang").isin(langs)).select("lang", "text")
+                  .mapInPandas(measure, "lang string, nats double").groupBy("lang").agg(F.sort_array(F.collect_list("nats")).alias("all"))
+                  .select("lang", F.get("all", F.floor(F.lit(quantile) * (F.size("all") - 1)).cast("int")).alias("top")))
         top = {r["lang"]: r["top"] for r in spread.collect()}  # one row per language
         limit[:] = [top.get(name, np.inf) + slack for name in langs]
     return models
