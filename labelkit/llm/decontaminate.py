@@ -51,13 +51,14 @@ def _placeholder(token: Column, names: bool) -> Column:
 
 def template_windows(text: Column, width: int = 5, count_words: bool = False) -> Column:
     """Array of ``place, hash, slots`` for each window of ``width`` tokens; ``slots`` joins
-    the window's slot values, and with ``count_words`` there is ``words``, the number of others.
+    the window's slot values, and with ``count_words`` there are ``words``, the number of others,
+    and ``at``, the places of the slots.
 
     A text with names gives windows with names as slots and, besides, as words: a copy in
     lower case then still shares the latter.
     """
 
-    fields = "place:int,hash:bigint,slots:string" + (",words:int" if count_words else "")
+    fields = "place:int,hash:bigint,slots:string" + (",words:int,at:array<int>" if count_words else "")
 
     def windows(tokens: Column, names: bool) -> Column:
         kinds = F.transform(tokens, lambda t: _placeholder(t, names))
@@ -67,7 +68,8 @@ def template_windows(text: Column, width: int = 5, count_words: bool = False) ->
             F.sequence(F.lit(0), F.size(a["k"]) - width), lambda i: F.struct(
                 i.alias("place"), F.xxhash64(*[a["k"][i + j] for j in range(width)]).alias("hash"),
                 F.concat_ws("\n", *[a["v"][i + j] for j in range(width)]).alias("slots"),
-                *([F.size(F.filter(F.slice(tokens, i + 1, width), lambda t: ~_is_slot(t))).alias("words")]
+                *([F.size(F.filter(F.slice(tokens, i + 1, width), lambda t: ~_is_slot(t))).alias("words"),
+                   F.filter(F.sequence(i, i + width - 1), lambda j: a["v"][j].isNotNull()).alias("at")]
                   if count_words else []))))
 
     def both(tokens: Column) -> Column:
@@ -81,24 +83,39 @@ def template_windows(text: Column, width: int = 5, count_words: bool = False) ->
 
 def benchmark_windows(benchmark: DataFrame, width: int = 5, least_literal: int = 3,
                       item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id, n_windows, hash, item_place, item_slots``: windows of all items with at least
+    """``item_id, n_windows, hash, item_place, item_slots, item_at``: windows of all items with at least
     ``least_literal`` words outside slots, saved, so that the planner knows their size. Items
     of fewer than ``width`` tokens have none."""
     literal = F.filter(template_windows(F.col(text), width, True), lambda w: w["words"] >= least_literal)
     rows = benchmark.select(F.col(item_id).alias("item_id"), literal.alias("w"))
     rows = rows.withColumn("n_windows", F.size(F.array_distinct(F.transform("w", lambda x: x["place"]))))
     return saved(rows.select("item_id", "n_windows", F.inline("w")).select(
-        "item_id", "n_windows", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")),
+        "item_id", "n_windows", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("at").alias("item_at")),
         "benchmark")
 
 
+def _usual(slots: Column) -> Column:
+    """Of slots ``at, i, d``: the pairs ``i, d`` that no other value ``d`` of the same ``i`` outnumbers."""
+
+    def often(pairs: Column) -> Column:
+        return F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), F.size(
+            F.filter(slots, lambda s: (s["i"] == p["i"]) & (s["d"] == p["d"]))).alias("n")))
+
+    pairs = F.array_distinct(F.transform(slots, lambda s: F.struct(s["i"].alias("i"), s["d"].alias("d"))))
+    return let(often(pairs), lambda all_: F.transform(
+        F.filter(all_, lambda p: ~F.exists(all_, lambda q: (q["i"] == p["i"]) & (q["n"] > p["n"]))),
+        lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, width: int = 5,
-               doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+               one_to_one: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows, matched, share, rewritten``: documents that hold an item.
 
     A pair is listed if ``least_share`` of the item's template windows stand within some stretch
     of the document that is twice as long as the item, along alignments whose slot values
-    map one to one; ``matched`` counts the best stretch. ``rewritten``: some slot in it has
+    map one to one; ``matched`` counts the best stretch. Without ``one_to_one`` an alignment
+    loses only windows with a slot whose value most slots of the same item value outvote, and
+    several item values may have one value in the document. ``rewritten``: some slot in it has
     another value than the item's.
 
     Null and short texts hold nothing; items with equal windows are all listed; rows that
@@ -111,7 +128,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5,
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.inline(template_windows(F.col(text), width)))
     hits = rows.join(items, "hash")
     # per alignment: windows without slots, windows with slots, and the pairs of values
-    pairs = F.filter(F.arrays_zip(F.split("item_slots", "\n").alias("i"), F.split("slots", "\n").alias("d")),
+    zipped = [F.split("item_slots", "\n").alias("i"), F.split("slots", "\n").alias("d")]
+    pairs = F.filter(F.arrays_zip(*([] if one_to_one else [F.col("item_at").alias("at")]), *zipped),
                      lambda p: p["i"] != "")
     # stretches of twice the item's length, one at every length of it
     length = F.col("n_windows") + width - 1
@@ -123,10 +141,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5,
         F.collect_set(F.when(F.size("pairs") == 0, F.col("item_place"))).alias("plain"),
         F.collect_set(F.when(F.size("pairs") > 0, F.col("item_place"))).alias("slotted"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
-    one_to_one = ((F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs"))
-                  & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs")))
-    counted = placed.withColumn("places", F.when(one_to_one, F.array_union("plain", "slotted")).otherwise(F.col("plain")))
-    found = (counted.withColumn("changed", one_to_one & F.exists("pairs", lambda p: p["i"] != p["d"]))
+    fits = ((F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs"))
+            & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs")))
+    counted = (placed.withColumn("places", F.when(fits, F.array_union("plain", "slotted")).otherwise(F.col("plain")))
+               .withColumn("changed", fits & F.exists("pairs", lambda p: p["i"] != p["d"])))
+    if not one_to_one:
+        counted = _by_slot(aligned)
+    found = (counted
              .select("doc_id", "item_id", "stretch", "n_windows", "changed", F.explode("places").alias("place"))
              .groupBy("doc_id", "item_id", "stretch").agg(F.max("n_windows").cast("bigint").alias("n_windows"),
                                                           F.count_distinct("place").alias("matched"),
@@ -137,8 +158,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5,
             .select("doc_id", "item_id", "n_windows", "matched", "share", "rewritten"))
 
 
+def _by_slot(aligned: DataFrame) -> DataFrame:
+    """Per alignment the places of windows whose slots are all usual there; ``changed``: one has another value."""
+    placed = (aligned.groupBy("doc_id", "item_id", "stretch", "shift").agg(
+        F.max("n_windows").alias("n_windows"),
+        F.collect_set(F.struct(F.col("item_place").alias("place"), "pairs")).alias("windows"))
+        .withColumn("usual", _usual(F.array_distinct(F.flatten(F.col("windows.pairs")))))
+        .withColumn("windows", F.filter("windows", lambda w: F.forall(w["pairs"], lambda p: F.array_contains(
+            F.col("usual"), F.struct(p["i"].alias("i"), p["d"].alias("d")))))))
+    return placed.withColumns({"places": F.array_distinct(F.col("windows.place")), "changed": F.exists(
+        F.flatten(F.col("windows.pairs")), lambda p: p["i"] != p["d"])})
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    leaks = saved(find_leaks(docs, benchmark, doc_id=doc_id, **options).select(
+    """Documents that hold no item of the benchmark; slots are judged one by one."""
+    leaks = saved(find_leaks(docs, benchmark, doc_id=doc_id, **{"one_to_one": False, **options}).select(
         F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return docs.join(leaks, docs[doc_id].eqNullSafe(leaks["_leak"]), "left_anti")
