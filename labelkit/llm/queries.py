@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelkit.llm import searches
 from labelkit.llm.chat import format_turns, read_back
 from labelkit.llm.common import LOWER, UPPER, table
 from labelkit.llm.decontaminate import NAME_RUN, TOKEN, UNIT_AFTER, find_leaks
@@ -335,3 +336,9 @@ def op9_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op9_simhash_groups"] = op9_simhash_groups
+
+
+# ---- 11 to 13
+
+QUERIES.update(searches.QUERIES)
+ORACLES.update(searches.ORACLES)
