@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelkit.llm.common import table
+from labelkit.llm.repair import audit_conversations, damage
 from labelkit.llm.voronoi import top_inner_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +30,17 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGIN
     FROM v q JOIN v d ON q.no <> d.no WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+# ---- 13: conversation repair
+
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    found = audit_conversations(damage(rows)).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct()
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return every.join(found, every["conv_id"].eqNullSafe(found["_conv"]), "left").select("conv_id", *[
+        F.coalesce(c, empty.get(c, F.lit(0).cast("bigint"))).alias(c) for c in found.columns if c != "_conv"])
+
+
+QUERIES["op13_conversation_repair"] = op13_conversation_repair

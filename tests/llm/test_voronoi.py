@@ -6,9 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from compare import connect, difference
 
-from labelkit.llm.searches import ORACLES, QUERIES
 from labelkit.llm.voronoi import _reaches, top_inner_products
 
 SCHEMA = "vec_id bigint, embedding array<float>, id string, h int, rank int"
@@ -75,8 +73,3 @@ def test_far_cells_are_not_sent():
     batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([pivots[2].tolist()])], ["grp", "v"])
     found = pa.Table.from_batches(list(_reaches([batch], pivots, np.full(8, 0.1), members, 1.0, 6)))
     assert found.column("cell").to_pylist() == [2]
-
-
-def test_query_against_sql(spark, sf):
-    name = "op11_voronoi_topk"
-    assert difference(QUERIES[name](spark, sf).toPandas(), connect(sf).execute(ORACLES[name]).df()) is None
