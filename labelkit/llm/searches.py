@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelkit.llm.common import table
+from labelkit.llm.common import LOWER, UPPER, table
+from labelkit.llm.phrases import mine_phrases
 from labelkit.llm.repair import audit_conversations, damage
 from labelkit.llm.voronoi import top_inner_products
 
@@ -32,6 +33,39 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+# ---- 12: phrases
+
+def op12_phrase_mining(spark: SparkSession, sf: str) -> DataFrame:
+    return mine_phrases(table(spark, sf, "documents"))
+
+
+QUERIES["op12_phrase_mining"] = op12_phrase_mining
+ORACLES["op12_phrase_mining"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''),
+        '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT doc, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS no FROM d),
+w AS (SELECT doc, lang, no, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT doc, lang, no, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+four AS (SELECT lang, word AS w1, w1 || ' ' || lead(word) OVER o AS w2, w2 || ' ' || lead(word, 2) OVER o AS w3,
+        w3 || ' ' || lead(word, 3) OVER o AS w4 FROM t WINDOW o AS (PARTITION BY doc, no ORDER BY pos)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM four GROUP BY ALL
+    UNION ALL SELECT lang, 2, w2, count(*) FROM four WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, 3, w3, count(*) FROM four WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, 4, w4, count(*) FROM four WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM g WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, c.a, v.k, x.f AS l, y.f AS r,
+        ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score FROM c JOIN (VALUES (1), (2), (3)) v(k) ON v.k < size
+        JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:v.k], ' ')
+        JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(ws[v.k + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c t ON s.lang = t.lang AND t.size > s.size
+        AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * t.a >= 80 * s.a),
+r AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+        FROM low ANTI JOIN inner_ USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 # ---- 13: conversation repair
 
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
