@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from labelkit.folders import saved
 
-_BLOCK = 1 << 21  # bytes of text worked on at once
-_ROW = 1 << 16  # words in one row of the encoded corpus
-_CUT = re.compile("[.,;:!?\n-\r]")
+_BLOCK = 1 << 20  # bytes of text worked on at once
+_ROW = 1 << 15  # words in one row of the encoded corpus
+_CUT = re.compile(b"[.,;:!?\n-\r]")
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
@@ -74,18 +74,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[
     """Rows ``lang, text`` in blocks; a text longer than a block is cut between pieces."""
     langs, texts, size = [], [], 0
     for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            at = 0
-            while at < len(text):
-                cut = _CUT.search(text, at + _BLOCK) if len(text) > at + _BLOCK else None
-                to = cut.end() if cut else len(text)
-                part = text[at:to].encode("utf-8", "replace")
-                langs.append(lang)
-                texts.append(part)
-                size, at = size + len(part), to
-                if size >= _BLOCK:
-                    yield langs, texts
-                    langs, texts, size = [], [], 0
+        for start in range(0, batch.num_rows, 128):
+            lang, text = (c.slice(start, 128) for c in batch.columns)
+            for name, whole in zip(lang.to_pylist(), text.cast(pa.binary()).to_pylist(), strict=True):
+                at = 0
+                while at < len(whole):
+                    cut = _CUT.search(whole, at + _BLOCK) if len(whole) > at + _BLOCK else None
+                    to = cut.end() if cut else len(whole)
+                    langs.append(name)
+                    texts.append(whole[at:to])
+                    size, at = size + to - at, to
+                    if size >= _BLOCK:
+                        yield langs, texts
+                        langs, texts, size = [], [], 0
     if texts:
         yield langs, texts
 
@@ -111,24 +112,23 @@ def _numbered(codes: np.ndarray, hashes: np.ndarray, first: int) -> np.ndarray:
     return codes
 
 
-def _rows(codes: np.ndarray) -> pa.RecordBatch:
-    """Rows of codes; a run of gaps is one gap, and a row ends in one."""
-    gap = codes == _UNKNOWN
+def _rows(codes: np.ndarray, last: bool) -> pa.RecordBatch:
+    """Rows of codes that end in gaps; a run of gaps is one. At the ``last`` part, words
+    without a number are gaps too, and codes become 32-bit numbers with -1 for a gap."""
+    if last:
+        codes = np.where(codes & _UNKNOWN, -1, codes.view(np.int64)).astype(np.int32)
+    mark = codes.dtype.type(-1 if last else _UNKNOWN)
+    gap = codes == mark
     keep = ~gap
     keep[1:] |= ~gap[:-1]
-    codes = np.append(codes[keep], _UNKNOWN)
-    ends = np.nonzero(codes == _UNKNOWN)[0]
-    cuts, last = [0], 0
-    for e in ends[np.searchsorted(ends, np.arange(_ROW, len(codes), _ROW))[:len(ends)]] if len(codes) > _ROW else []:
-        if e + 1 > last:
-            last = e + 1
-            cuts.append(last)
-    cuts = [*cuts, *([len(codes)] if cuts[-1] < len(codes) else [])]
+    codes = np.append(codes[keep], mark)
+    ends = np.nonzero(codes == mark)[0] + 1
+    cuts = [0, *np.unique(ends[np.minimum(np.searchsorted(ends, np.arange(_ROW, len(codes) + _ROW, _ROW)), len(ends) - 1)]).tolist()]
     parts = [codes[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["codes"])
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], seed: int, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], seed: int, hashes: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
     """Texts to 64-bit codes: numbers, hashes marked as unknown, and a bare mark as gap."""
     words = _Words(seed)
     for langs, texts in _texts(batches):
@@ -136,29 +136,25 @@ def _encoded(batches: Iterator[pa.RecordBatch], seed: int, hashes: np.ndarray) -
         place = np.arange(len(h)) + np.cumsum(new)
         codes = np.full(len(h) + int(new.sum()), _UNKNOWN, np.uint64)
         codes[place] = h | _UNKNOWN
-        yield _rows(_numbered(codes, hashes, 0))
-
-
-def _final(codes: np.ndarray) -> np.ndarray:
-    """Numbers with -1 for gaps and for all words that are too rare."""
-    return np.where(codes & _UNKNOWN, -1, codes.view(np.int64))
+        yield _rows(_numbered(codes, hashes, 0), last)
 
 
 class Trie:
-    """A double array: state ``s`` goes on with word ``w`` to ``t = base[s] + w`` if ``check[t] == s``.
+    """A double array: state ``s`` goes on with symbol ``c`` to ``t = base[s] + c`` if ``check[t] == s``.
 
-    State 0 is the root, states 1 to ``n_words`` are single words; a state's ``name`` is its
-    phrase's id.
+    State 0 is the root, states 1 to ``n_words`` are single words; a further word is its
+    number's digits to the base 256, so that no state has more than 256 children and the
+    array stays dense. Where a phrase ends, ``name`` is its id.
     """
 
     def __init__(self, n_words: int) -> None:
         self.n_words, self.depth = n_words, 1
+        self.digits = max(1, -(-(n_words - 1).bit_length() // 8))
         self.base = np.zeros(n_words + 1, np.int64)
         self.check = np.zeros(n_words + 1, np.int64)
         self.name = np.arange(-1, n_words, dtype=np.int64)
-        self.base[0], self.check[0] = 1, -1
-        self.top = n_words + 1  # all slots from here on are free
-        self.low = n_words + 1
+        self.check[0] = -1
+        self.top = self.low = n_words + 1  # all slots from top on are free, hardly any below low
 
     def _grow(self, size: int) -> None:
         if size > len(self.base):
@@ -167,60 +163,71 @@ class Trie:
             self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
             self.name = np.concatenate([self.name, np.full(more, -1, np.int64)])
 
-    def _offset(self, words: np.ndarray) -> int:
+    def _offset(self, symbols: np.ndarray) -> int:
         """First place found where all children of a state are free, else behind all."""
-        self._grow(self.top + self.n_words + 1)
-        while self.low < self.top and (self.check[self.low:self.low + 4096] >= 0).mean() > 0.9:
+        while self.low + 4096 < self.top and (self.check[self.low:self.low + 4096] >= 0).mean() > 0.9:
             self.low += 4096
-        free = self.low + np.nonzero(self.check[self.low:min(self.top, self.low + 65_536)] < 0)[0][:2048]
-        for k in range(0, len(free), 256):
-            bases = free[k:k + 256] - words[0]
-            fits = (self.check[np.minimum(bases[:, None] + words, len(self.check) - 1)] < 0).all(1)
+        free = self.low + np.nonzero(self.check[self.low:min(self.top, self.low + 16_384)] < 0)[0][:1024]
+        for k in range(0, len(free), 128):
+            bases = free[k:k + 128] - symbols[0]
+            fits = (self.check[bases[:, None] + symbols] < 0).all(1)
             if fits.any():
                 return int(bases[fits.argmax()])
-        return self.top - int(words[0])
+        return self.top - int(symbols[0])
 
-    def add_level(self, parents: np.ndarray, words: np.ndarray, names: np.ndarray) -> None:
-        """Children ``words`` of the states ``parents``, with their ids."""
-        order = np.lexsort((words, parents))
-        parents, words, names = parents[order], words[order], names[order]
+    def _place(self, parents: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """States of new children; pairs are distinct and sorted."""
         states, first, count = np.unique(parents, return_index=True, return_counts=True)
-        for k in np.argsort(-count, kind="stable")[:int((count > 1).sum())]:
+        out = np.empty(len(parents), np.int64)
+        self._grow(self.top + len(parents) + 600)
+        for k in np.argsort(-count, kind="stable")[:int((count > 1).sum())].tolist():
             a, b = first[k], first[k] + count[k]
-            base = self._offset(words[a:b])
-            slots = base + words[a:b]
-            self.base[states[k]], self.check[slots], self.name[slots] = base, states[k], names[a:b]
+            self._grow(self.top + 600)
+            self.base[states[k]] = base = self._offset(symbols[a:b])
+            out[a:b] = slots = base + symbols[a:b]
+            self.check[slots] = states[k]
             self.top = max(self.top, int(slots[-1]) + 1)
         alone = first[count == 1]  # single children fill what is free
-        self._grow(self.top + len(alone) + 1)
+        self._grow(self.top + len(alone) + 600)
         slots = np.nonzero(self.check[self.n_words + 1:] < 0)[0][:len(alone)] + self.n_words + 1
-        self.base[parents[alone]], self.check[slots], self.name[slots] = slots - words[alone], parents[alone], names[alone]
+        self.base[parents[alone]], self.check[slots], out[alone] = slots - symbols[alone], parents[alone], slots
         if len(slots):
             self.top = max(self.top, int(slots[-1]) + 1)
+        return out
+
+    def add_level(self, parents: np.ndarray, words: np.ndarray, names: np.ndarray) -> None:
+        """Children ``words`` of the states ``parents``, with their ids."""
+        state = parents
+        for digit in reversed(range(self.digits)):
+            pair, back = np.unique(state << 8 | (words >> 8 * digit & 255), return_inverse=True)
+            state = self._place(pair >> 8, pair & 255)[back]
+        self.name[state] = names
         self.depth += 1
 
     def closed(self) -> tuple:
         """Arrays for the tasks, padded so that every step stays inside."""
-        self._grow(self.top + self.n_words + 1)
-        size = self.top + self.n_words + 1
+        size = self.top + 256
+        self._grow(size)
         small = np.int32 if size < 1 << 31 else np.int64
-        return self.base[:size].astype(small), self.check[:size].astype(small), self.name[:size], self.depth
+        return self.base[:size].astype(small), self.check[:size].astype(small), self.name[:size], self.depth, self.digits
 
 
 def walk(codes: np.ndarray, trie: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a phrase of the trie's full depth starts, and their states."""
-    base, check, _, depth = trie
+    base, check, _, depth, digits = trie
     at = np.nonzero(codes >= 0)[0]
     state = codes[at] + 1
     for level in range(1, depth):
         inside = at + level < len(codes)
         at, state = at[inside], state[inside]
         word = codes[at + level]
-        step = base[state] + word
-        good = (word >= 0) & (step > 0) & (step < len(check))
-        at, state, step = at[good], state[good], step[good]
-        good = check[step] == state
-        at, state = at[good], step[good]
+        good = word >= 0
+        for digit in reversed(range(digits)):
+            at, state, word = at[good], state[good], word[good]
+            step = base[state] + (word >> 8 * digit & 255)
+            good = (step > 0) & (check[step] == state)
+            state = step
+        at, state = at[good], state[good]
     return at, state
 
 
@@ -236,7 +243,7 @@ def _counted(batches: Iterator[pa.RecordBatch], trie: tuple, go_on: bool) -> Ite
 
     def block() -> Iterator[pa.RecordBatch]:
         nonlocal total
-        codes = np.concatenate(held)
+        codes = np.concatenate(held).astype(np.int64)
         held.clear()
         at, state = walk(codes, trie)
         total += np.bincount(state, minlength=len(total))
@@ -249,8 +256,8 @@ def _counted(batches: Iterator[pa.RecordBatch], trie: tuple, go_on: bool) -> Ite
 
     for batch in batches:
         for raw in batch.column(0):
-            held.append(_final(np.frombuffer(raw.as_py(), np.uint64)))
-            if sum(map(len, held)) >= 8 * _ROW:
+            held.append(np.frombuffer(raw.as_py(), np.int32))
+            if sum(map(len, held)) >= 16 * _ROW:
                 yield from block()
     if held:
         yield from block()
@@ -290,7 +297,7 @@ def _score(a: Column, both: Column) -> Column:
 
 
 def mine_phrases(docs: DataFrame, least: int = 30, most_len: int = 4, top: int = 2000, lang: str = "lang", text: str = "text",
-                 most_words: int = 4_000_000, most_phrases: int = 1_000_000) -> DataFrame:
+                 most_words: int = 4_000_000, most_phrases: int = 300_000) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language.
 
     A phrase of 2 to ``most_len`` words occurs ``a >= least`` times inside pieces of text between
@@ -325,14 +332,14 @@ def mine_phrases(docs: DataFrame, least: int = 30, most_len: int = 4, top: int =
                 at = np.searchsorted(shared.value, batch.column(0).to_numpy().view(np.uint64)) + first
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *batch.columns[1:]], ["word", *batch.schema.names[1:]])
 
-        def known(batches, shared=shared, first=first):
+        def known(batches, shared=shared, first=first, last=part == parts - 1):
             for batch in batches:
                 for raw in batch.column(0):
-                    yield _rows(_numbered(np.frombuffer(raw.as_py(), np.uint64).copy(), shared.value, first))
+                    yield _rows(_numbered(np.frombuffer(raw.as_py(), np.uint64).copy(), shared.value, first), last)
 
         tables.append(saved(mine.select("hash", "lang", F.col("word").alias("phrase"), "n").mapInArrow(
             number, "word int, lang string, phrase string, n bigint"), "numbers"))
-        codes = saved(docs.mapInArrow(lambda b, shared=shared: _encoded(b, seed, shared.value), "codes binary") if codes is None
+        codes = saved(docs.mapInArrow(lambda b, shared=shared: _encoded(b, seed, shared.value, parts == 1), "codes binary") if codes is None
                       else codes.mapInArrow(known, "codes binary"), "codes")
         first += len(hashes)
     single = tables[0]
