@@ -359,7 +359,7 @@ def mine_phrases(docs: DataFrame, least: int = 30, most_len: int = 4, top: int =
             shared = spark.sparkContext.broadcast(trie.closed())
             results.append(saved(codes.mapInArrow(
                 lambda b, shared=shared, depth=depth: _counted(b, shared.value, depth < most_len), "prefix bigint, word int, n bigint")
-                .groupBy("prefix", "word").agg(F.sum("n").alias("n")), "counts"))
+                .groupBy("prefix", "word").agg(F.sum("n").alias("n")).where((F.col("word") < 0) | (F.col("n") >= least)), "counts"))
             shared.unpersist()
         result = results[0]
         for r in results[1:]:
@@ -369,7 +369,7 @@ def mine_phrases(docs: DataFrame, least: int = 30, most_len: int = 4, top: int =
         if depth == most_len:
             break
         up = level.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("p"), "w")
-        proposed = result.where((F.col("word") >= 0) & (F.col("n") >= least)).select("prefix", "word")
+        proposed = result.where("word >= 0").select("prefix", "word")
         level = (proposed.join(up, "prefix").join(single.select("word", F.col("phrase").alias("next")), "word")
                  .select("prefix", "word", "lang", F.concat_ws(" ", "p", "next").alias("phrase"),
                          F.concat("w", F.array("word")).alias("w"), F.monotonically_increasing_id().alias("id")))
