@@ -13,7 +13,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     Below ``spark.checkpoint.dir``; where that is unset, below the warehouse folder.
     Never a machine's own temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith("file:") and not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

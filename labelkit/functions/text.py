@@ -207,3 +207,89 @@ def page_xml_text(xml: Column) -> Column:
 def page_xml_lines(xml: Column) -> Column:
     """Text lines of a page: the ``Unicode`` elements inside ``TextLine``; null if malformed."""
     return _units(xml, True)
+
+
+HYPHENS = ("-", "\u00ac", "\u00ad")  # at the end of a line: its last word goes on in the next
+
+
+def _name(element: ElementTree.Element) -> str:
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def _reading_order(root: ElementTree.Element) -> dict[str, int]:
+    """Places of regions: ordered groups by index, unordered ones as they stand, nested ones
+    where their group stands."""
+    places: dict[str, int] = {}
+
+    def index(element: ElementTree.Element) -> int:
+        value = element.get("index", "")
+        return int(value) if value.isdecimal() else 1 << 30
+
+    left = [e for e in root.iter() if _name(e) == "ReadingOrder"][:1]
+    while left:
+        element = left.pop()
+        if (ref := element.get("regionRef")) is not None:
+            places.setdefault(ref, len(places))
+        children = list(element)
+        if _name(element).startswith("OrderedGroup"):
+            children.sort(key=index)
+        left += reversed(children)
+    return places
+
+
+def _line_text(line: ElementTree.Element) -> str:
+    """Text of a line itself, or else that of its words."""
+    def text(element: ElementTree.Element) -> str | None:
+        return next((u.text for equiv in element if _name(equiv) == "TextEquiv" for u in equiv
+                     if _name(u) == "Unicode" and u.text), None)
+
+    own = text(line)
+    return own if own is not None else " ".join(filter(None, (text(w) for w in line if _name(w) == "Word")))
+
+
+def merge_lines(lines: list[str]) -> str:
+    """Lines as running text; a word cut by a hyphen at a line's end is put together."""
+    out = ""
+    for line in lines:
+        if out.endswith(HYPHENS):
+            out = out[:-1] + line
+        else:
+            out += (" " if out else "") + line
+    return out
+
+
+def _regions(xml: str | None) -> list[dict] | None:
+    root = None if xml is None else parse_page(xml)
+    if root is None:
+        return None
+    order, found, left = _reading_order(root), [], [(root, None)]
+    while left:  # in document order; a line belongs to the innermost region round it
+        element, region = left.pop()
+        if _name(element) == "TextRegion":
+            region = {"region": element.get("id"), "lines": []}
+            found.append(region)
+        elif _name(element) == "TextLine" and region is not None:
+            if line := _line_text(element):
+                region["lines"].append(line)
+            continue
+        left += [(child, region) for child in reversed(element)]
+    found = [f for f in found if f["lines"]]
+    found.sort(key=lambda f: order.get(f["region"], len(order)))
+    return [f | {"text": merge_lines(f["lines"])} for f in found]
+
+
+def page_xml_regions(xml: Column) -> Column:
+    """Text regions of a page in reading order: ``array<struct<region, lines, text>>``.
+
+    Regions that the reading order does not name follow in document order, those without text
+    are left out. Null for a malformed page, empty for one without regions.
+    """
+    def work(pages: pd.Series) -> pd.Series:
+        return pd.Series([_regions(x) for x in pages], dtype=object)
+
+    return F.pandas_udf(work, "array<struct<region: string, lines: array<string>, text: string>>")(xml)
+
+
+def first_region_text(xml: Column) -> Column:
+    """Text of the region that is read first; null where there is none."""
+    return F.get(page_xml_regions(xml), F.lit(0))["text"]

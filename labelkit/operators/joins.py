@@ -22,9 +22,9 @@ def gazetteer_tag(sentences: DataFrame, gazetteer: DataFrame, doc: str = "doc",
 
     A dictionary becomes one map per document and meets sentence rows; tokens are looked
     up inside the row and never shuffled. Of several types of a surface in a document the
-    last by name counts. Entries are dealt out by document once, for both groupings.
+    last by name counts.
     """
-    entries = (gazetteer.repartition(doc).groupBy(doc, "surface").agg(F.max("type").alias("type"))
+    entries = (gazetteer.groupBy(doc, "surface").agg(F.max("type").alias("type"))
                .groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("surface", "type"))).alias("_types")))
     known = F.coalesce("_types", F.map_from_arrays(
         F.array().cast("array<string>"), F.array().cast("array<string>")))
@@ -78,32 +78,31 @@ def positional_zip(text_lines: DataFrame, tag_lines: DataFrame,
 
 
 def project_spans(words: DataFrame, spans: DataFrame, keys: Sequence[str] = ("sentence_id",),
-                  rank: Sequence[str] = ("model", "ord"), piece: int = 64) -> DataFrame:
+                  rank: Sequence[str] = ("model", "ord"), piece: int = 512) -> DataFrame:
     """Word rows ``keys, pos, token, start, end`` with the tag of the last span over them.
 
-    Words and spans of a sentence are gathered once each and meet as two arrays, so no word
-    is joined back; a sentence is one row, as long as it was where it came from. Inside
-    the row words are tagged ``piece`` at a time by the spans that reach them. Spans that
-    lie by ``keys`` already, such as those of ``vote`` after ``repartition(*keys)``, are not
-    shuffled again.
+    Words and spans meet by key and stretch of text: a word stands in the stretch where it
+    starts, a span in all from which a word can reach it. A stretch has ``piece`` characters,
+    or as many as the longest word, so that one before a span is enough. A sentence of very
+    many words is thus dealt to many tasks, each of which holds the words of one stretch;
+    both sides are exchanged once and no word is joined back.
     """
     keys = list(keys)
-    held = words.groupBy(*keys).agg(F.sort_array(F.collect_list(
-        F.struct("start", "end", "pos", "token"))).alias("_words"))
-    heard = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
-        F.struct(*rank).alias("rank"), "start", "end", "label"))).alias("_spans"))
-    none = F.array().cast(heard.schema["_spans"].dataType)
+    longest = words.agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    width = F.lit(max(piece, longest or 0))
 
-    def tags(ws: Column, found: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(0), F.size(ws) - 1, F.lit(piece)),
-                             lambda i: F.slice(ws, i + 1, F.lit(piece)))
-        return F.flatten(F.transform(pieces, lambda p: tag_words(p, F.filter(
-            found, lambda s: (s["end"] > F.get(p, F.lit(0))["start"])
-            & (s["start"] < F.array_max(F.transform(p, lambda w: w["end"])))))))
+    def place(at: Column) -> Column:
+        return F.floor(at / width)
 
-    both = F.struct(F.col("_words").alias("w"), F.coalesce("_spans", none).alias("s"))
-    tagged = (held.join(heard, keys, "left")
-              .select(*keys, "_words", let(both, lambda e: tags(e["w"], e["s"])).alias("_tags"))
+    held = words.groupBy(*keys, place(F.col("start")).alias("_at")).agg(F.sort_array(F.collect_list(
+        F.struct("start", "end", "pos", "token"))).alias("_words"))
+    last = F.greatest(F.col("start"), F.col("end") - 1)
+    heard = (spans.withColumn("_at", F.explode(F.sequence(place(F.col("start")) - 1, place(last))))
+             .groupBy(*keys, "_at").agg(F.sort_array(F.collect_list(F.struct(
+                 F.struct(*rank).alias("rank"), "start", "end", "label"))).alias("_spans")))
+    none = F.array().cast(heard.schema["_spans"].dataType)
+    tagged = (held.join(heard, [*keys, "_at"], "left")
+              .select(*keys, "_words", tag_words(F.col("_words"), F.coalesce("_spans", none)).alias("_tags"))
               .select(*keys, F.explode(F.arrays_zip("_words", "_tags")).alias("_p")))
     return tagged.select(*keys, "_p._words.pos", "_p._words.token", "_p._words.start",
                          "_p._words.end", F.col("_p._tags").alias("tag"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelkit.functions.arrays import let
@@ -58,6 +59,36 @@ def accumulate_metric(*counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return total.groupBy(*by, "type").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """Counts of all runs written so far; none before the first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def add_to_ledger(counts: DataFrame, path: str, keys: Sequence[str] = ("run", "model", "dataset")) -> DataFrame:
+    """Append the counts of runs that the ledger has not got; the whole ledger.
+
+    A run is known by ``keys``, null being a value like others. Adding one again changes nothing,
+    so a job that was ended between two additions is simply run anew; an append that
+    fails leaves no rows. Runs are added one writer at a time.
+    """
+    spark, keys = counts.sparkSession, list(keys)
+    known = read_ledger(spark, path)
+    new = counts.select(*keys, "type", *COUNTS)
+    if known is not None:
+        seen = known.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        new = new.join(seen, same, "left_anti")
+    new.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _rates(df: DataFrame) -> DataFrame:
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole == 0, 0.0).otherwise(F.try_divide(part, whole))

@@ -156,3 +156,18 @@ def page_xml(text: Column) -> Column:
     return F.concat(
         F.lit('<PcGts xmlns="http://example.org/page"><Page>' + before),
         F.replace(escaped, F.lit("\n"), F.lit(after + before)), F.lit(after + "</Page></PcGts>"))
+
+
+def region_page_xml(text: Column) -> Column:
+    """A page that deals the document's lines to three regions, the last of which is read first."""
+    escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def region(no: int) -> Column:
+        lines = F.filter(F.split(escaped, "\n"), lambda _, i: i % 3 == no)
+        return F.concat(F.lit(f'<TextRegion id="r{no}">'), F.array_join(F.transform(lines, lambda x: F.concat(
+            F.lit("<TextLine><TextEquiv><Unicode>"), x, F.lit("</Unicode></TextEquiv></TextLine>"))), ""),
+            F.lit("</TextRegion>"))
+
+    refs = "".join(f'<RegionRefIndexed index="{(no + 1) % 3}" regionRef="r{no}"/>' for no in range(3))
+    return F.concat(F.lit(f"<PcGts><Page><ReadingOrder><OrderedGroup>{refs}</OrderedGroup></ReadingOrder>"),
+                    *[region(no) for no in range(3)], F.lit("</Page></PcGts>"))

@@ -551,3 +551,19 @@ def _number_file_lines(spark, sf):
     lines = _archive_lines(spark, sf, F.col("text"))
     return number_file_lines(*lines).join(file_names(lines[1]), "file_key").select(
         "archive", "line_no", "line")
+
+
+@query("""SELECT doc_id, segment AS sentence_id, string_agg(token || chr(9) || '_' || chr(9) || '_' || chr(9) || tag, chr(10) ORDER BY i)
+        || chr(10) AS value FROM (
+    SELECT *, coalesce(sum((token LIKE '%.')::INT) OVER (PARTITION BY doc_id ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment,
+        CASE WHEN substr(md5(token), 1, 1) < '4' THEN 'B-' || substr(md5(token), 1, 1) || 'x' ELSE 'O' END AS tag
+    FROM (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (
+        SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM docs)))
+    GROUP BY doc_id, segment""")
+def groups_to_conll(spark, sf):
+    """Labelled words of whole documents, cut into sentences and written in four columns."""
+    first = lambda w: F.left(F.md5(w), F.lit(1))
+    words = F.transform(L.ws_tokens(F.col("text")), lambda w: F.struct(w.alias("word"), F.when(
+        first(w) < "4", F.concat(F.lit("LABEL_"), first(w), F.lit("x"))).otherwise("LABEL_0").alias("label")))
+    return conll.groups_to_conll(documents(spark, sf).select("doc_id", words.alias("groups")), ["doc_id"])

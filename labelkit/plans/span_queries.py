@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelkit import functions as L
-from labelkit.operators import (accumulate_metric, align_predictions, annotate,
+from labelkit.folders import scratch_folder
+from labelkit.operators import (accumulate_metric, add_to_ledger, align_predictions, annotate,
                                 filter_confidence, gazetteer_tag, metric_counts)
 from labelkit.operators import collect_votes as votes
 from labelkit.operators import entity_prf_by_type as prf_by_type
@@ -82,8 +83,7 @@ def vote_best_score(spark, sf):
 @query(f"""SELECT {_VOTED}, first // 1000000 AS model, first % 1000000 AS ord
     FROM groups WHERE n_top > 1 OR score > 0.7""")
 def vote(spark, sf):
-    """Spans are dealt out by sentence once; both tallies of the vote find them there."""
-    voted = vote_rows(span_rows(spark, sf).repartition(*KEYS), KEYS)
+    voted = vote_rows(span_rows(spark, sf), KEYS)
     return voted.select(*KEYS, "model", "ord", "start", "end", "word", "label",
                         F.round("score", 4).alias("score"))
 
@@ -101,7 +101,7 @@ _PROJECTED = """SELECT p.doc_id, p.sent_no, p.pos, p.token, coalesce(max(tag), '
 @query(_PROJECTED)
 def project_spans(spark, sf):
     """Voted spans, as a table, joined onto a table of words."""
-    spans = vote_rows(span_rows(spark, sf).repartition(*KEYS), KEYS)
+    spans = vote_rows(span_rows(spark, sf), KEYS)
     return project(word_rows(spark, sf), spans, KEYS).select(*KEYS, "pos", "token", "tag")
 
 
@@ -222,6 +222,16 @@ def _accumulate_metric(spark, sf):
         "type", "tp", "n_pred", "n_gold")
 
 
+@query(f"SELECT type, {_SUMS} FROM ({_COUNTED}) GROUP BY type")
+def metric_ledger(spark, sf):
+    """Runs added to a ledger on disk in two steps, one of them twice, and then added up."""
+    path = scratch_folder(spark, "ledger")
+    for models in ([0, 1], [0, 1], [1, 2]):
+        runs = metric_counts(_predicted(spark, sf, models), ["model", "dataset"]).withColumn("run", F.lit("first"))
+        ledger = add_to_ledger(runs, path)
+    return accumulate_metric(ledger, by=[]).where(F.col("type").isNotNull()).select("type", "tp", "n_pred", "n_gold")
+
+
 def _entities(df, tags):
     """Entities of every annotator; ``tags`` gives the tags of one."""
     voices = F.array(*[F.struct(F.lit(m).alias("model"), L.bio_to_spans(tags(m)).alias("e")) for m in MODELS])

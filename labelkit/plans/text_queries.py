@@ -9,7 +9,7 @@ from labelkit.functions.text import ABBREVIATIONS
 from labelkit.operators import conll_to_tokens as block_tokens
 from labelkit.operators import filter_blank, filter_min_fields, tags_of_lines
 from labelkit.operators.stats import count_tags, count_tags_total
-from labelkit.plans.bridge import (doc_sentences, doc_tokens, documents, gold_tags, page_xml,
+from labelkit.plans.bridge import (doc_sentences, doc_tokens, documents, gold_tags, page_xml, region_page_xml,
                                    table, token_type)
 from labelkit.plans.registry import query
 
@@ -159,6 +159,18 @@ def page_xml_lines(spark, sf):
         L.page_xml_lines(page_xml(F.col("text")))).alias("line_no", "line"))
 
 
+@query("""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY (r + 1) % 3) - 1 AS place, 'r' || r AS region, n,
+        replace(replace(joined, '-' || chr(10), ''), chr(10), ' ') AS text
+    FROM (SELECT doc_id, (i - 1) % 3 AS r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS joined
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+            generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs) WHERE line <> '' GROUP BY ALL)""")
+def page_xml_regions(spark, sf):
+    """Regions that stand on the page in another order than they are read."""
+    pages = documents(spark, sf).select("doc_id", L.page_xml_regions(region_page_xml(F.col("text"))).alias("r"))
+    return pages.select("doc_id", F.posexplode("r").alias("place", "r")).select(
+        "doc_id", "place", "r.region", F.size("r.lines").cast("bigint").alias("n"), "r.text")
+
+
 @query("""SELECT doc_id, sent_no, string_agg(tag, ' ' ORDER BY pos) AS tags FROM gold
     GROUP BY doc_id, sent_no""")
 def tags_from_lines(spark, sf):

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelkit.functions.arrays import let
-from labelkit.functions.tags import map_types
+from labelkit.functions.spans import segment_after
+from labelkit.functions.tags import map_types, rename_label
 from labelkit.functions.text import BLANKS, is_blank
 from labelkit.operators.joins import positional_zip
 from labelkit.operators.numbering import (file_names, number_file_lines, number_lines,
@@ -208,6 +209,25 @@ def write_conll(sentences: DataFrame, path: str, layout: str,
      .select(*scope, value.alias("value")).write.partitionBy(*scope).text(path))
 
 
+def group_sentences(rows: DataFrame, groups: str = "groups") -> DataFrame:
+    """Labelled words of unsegmented predictions as sentence rows.
+
+    ``groups`` holds ``struct<word, label>`` in text order, labels ``LABEL_k``. A sentence ends
+    after a word that ends in a period. Adds ``sentence_id, tokens, tags`` to the other columns; a
+    row without words has no sentence.
+    """
+    rest = [c for c in rows.columns if c != groups]
+    cut = segment_after(F.col(groups), lambda g: g["word"].endswith("."))
+    return (rows.select(*rest, F.posexplode(cut).alias("sentence_id", "_g"))
+            .select(*rest, F.col("sentence_id").cast("bigint").alias("sentence_id"), F.col("_g.word").alias("tokens"),
+                    F.transform("_g.label", rename_label).alias("tags")))
+
+
+def groups_to_conll(rows: DataFrame, by: Sequence[str], groups: str = "groups") -> DataFrame:
+    """Rows ``by, sentence_id, value``: unsegmented predictions as four-column text."""
+    return to_conll(group_sentences(rows.select(*by, groups), groups), "legacy4", by)
+
+
 def write_token_csv(sentences: DataFrame, path: str, scope: Sequence[str] = ("split",),
                     index: str = "sentence_id") -> None:
     """Quoted ``ID, Word, Lemma, Morphology, Annotation`` rows with header, numbered from 1."""

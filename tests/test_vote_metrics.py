@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelkit import functions as L
-from labelkit.operators import (accumulate_metric, align_predictions, entity_prf_by_type,
+from labelkit.operators import (add_to_ledger, accumulate_metric, align_predictions, entity_prf_by_type,
                                 entity_prf_overall, metric_counts, project_spans, vote)
 
 SPANS = ("sentence_id bigint, model int, ord int, start int, end int, word string, "
@@ -157,3 +157,30 @@ def test_gold_against_itself_and_no_entities(spark):
     empty = spark.createDataFrame([(["O"], ["O"])], "pred array<string>, gold array<string>")
     row = entity_prf_overall(metric_counts(empty, [])).first()
     assert (row["precision"], row["recall"], row["f1"], row["accuracy"]) == (0, 0, 0, 1)
+
+
+def test_one_long_sentence_is_dealt_to_many_tasks(spark):
+    """Words and spans of one key are exchanged by stretch; no task gets them all."""
+    n = 20_000
+    words = spark.range(n).select(F.lit(1).cast("bigint").alias("sentence_id"), F.col("id").cast("int").alias("pos"), F.lit("w").alias("token"),
+                                  (F.col("id") * 6).cast("int").alias("start"), (F.col("id") * 6 + 5).cast("int").alias("end"))
+    spans = words.where("pos % 3 = 0").select("sentence_id", F.lit(0).alias("model"), F.col("pos").alias("ord"), "start", "end",
+                                              F.lit("p").alias("label"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tagged = project_spans(words, spans)
+        sizes = [r["count"] for r in tagged.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and len(sizes) == 8 and max(sizes) < n / 3
+        assert tagged.where((F.col("tag") == "B-p") != (F.col("pos") % 3 == 0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_ledger_takes_a_run_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", ["B-p", "O"], ["B-p", "O"]), (None, ["O"], ["B-g"])],
+                               "model string, pred array<string>, gold array<string>")
+    counts = metric_counts(df, ["model"]).withColumn("run", F.lit(1)).withColumn("dataset", F.lit("d"))
+    path = str(tmp_path / "ledger")
+    rows = [sorted(map(str, add_to_ledger(c, path).collect()))
+            for c in (counts.where("model = 'a'"), counts, counts, counts.withColumn("run", F.lit(2)))]
+    assert len(rows[0]) == 2 and len(rows[1]) == 4 and rows[1] == rows[2] and len(rows[3]) == 8
