@@ -183,6 +183,90 @@ _PIECE = ("part_key bigint, start bigint, ordinal bigint, opens boolean, closes
           "lines array<string>")
 
 
+class _Runs:
+    """Cuts batches of lines into runs without a boundary; no line is looked at singly."""
+
+    def __init__(self, edges: bool) -> None:
+        self.edges, self.order = edges, _Order()
+        self.held: list[tuple[pa.RecordBatch, np.ndarray]] = []  # lines of a run that may go on
+        self.block: np.ndarray | None = None  # the block at hand
+        self.ended = 0  # and the number of its runs that have ended
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        part, start, line_id, word = _numpy(batch, *_BLOCK, "line_id", "_word")
+        fresh = self.order.check(part, start, line_id)
+        if fresh[0] and not self.held:
+            yield from self._totals()
+            self.ended = 0
+        goes_on = bool(self.held) and word.all() and not fresh.any()
+        self.held.append((batch.select([*_BLOCK, "line", "_word"]), fresh))
+        if not goes_on:
+            yield from self._cut(ended=not word[-1])
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield from self._cut(ended=True)
+        yield from self._totals()
+
+    def _totals(self) -> Iterator[pa.RecordBatch]:
+        """The row of the block at hand."""
+        if self.edges and self.block is not None:
+            yield _totals_batch(self.block[None], np.array([self.ended]))
+
+    def _cut(self, ended: bool) -> Iterator[pa.RecordBatch]:
+        """The runs of the lines held; one that may go on is held further."""
+        batches = pa.Table.from_batches([b for b, _ in self.held]).combine_chunks().to_batches()
+        if len(batches) > 1:
+            raise ValueError("a run of lines is too large for one row")
+        rows, fresh = batches[0], np.concatenate([f for _, f in self.held])
+        part, start, word = _numpy(rows, *_BLOCK, "_word")
+        keys = np.stack([part, start], 1)
+        after = np.append(fresh[1:], True)
+        first = np.nonzero(word & (fresh | ~np.append(False, word[:-1])))[0]
+        end = np.nonzero(word & (after | ~np.append(word[1:], False)))[0] + 1
+        of = np.cumsum(fresh) - fresh[0]
+        heads = np.append(0, np.nonzero(fresh[1:])[0] + 1)
+        runs = np.bincount(of[first], minlength=len(heads))
+        number = np.arange(len(first)) - (np.cumsum(runs) - runs)[of[first]]
+        number[of[first] == 0] += self.ended
+        runs[0] += self.ended
+        if self.edges and len(heads) > 1:
+            yield _totals_batch(keys[heads[:-1]], runs[:-1])
+        self.block, self.ended, self.held = keys[-1], int(runs[-1]), []
+        opens, closes = fresh[first], after[end - 1]
+        if not ended:
+            self.ended -= 1
+            self.held = [(rows.slice(first[-1]), fresh[first[-1]:])]
+            first, end, number, opens, closes = (
+                x[:-1] for x in (first, end, number, opens, closes))
+        own = (opens | closes) == self.edges
+        if own.any():
+            first, end = first[own], end[own]
+            yield _pieces_batch(keys[first], number[own], opens[own], closes[own],
+                                _run_lists(rows.column("line"), first, end))
+
+
+def _run_lists(lines: pa.Array, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The lines of some runs as one list per run."""
+    steps = np.zeros(len(lines) + 1, np.int8)
+    steps[first] += 1
+    steps[end] -= 1
+    offsets = pa.array(np.append(0, np.cumsum(end - first)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, lines.filter(pa.array(np.cumsum(steps[:-1]) > 0)))
+
+
+def _pieces_batch(keys: np.ndarray, ordinals: np.ndarray, opens: np.ndarray,
+                  closes: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+    numbers = [pa.array(x, pa.int64()) for x in (keys[:, 0], keys[:, 1], ordinals)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array(opens), pa.array(closes), lists],
+                                      [c.split()[0] for c in _PIECE.split(", ")])
+
+
+def _totals_batch(keys: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+    no = np.zeros(len(runs), bool)
+    return _pieces_batch(keys, runs, no, no, pa.nulls(len(runs), pa.list_(pa.string())))
+
+
 def _pieces(lines: DataFrame, boundary: Column, edges: bool) -> DataFrame:
     """Runs of lines without a boundary, per block: those inside it, or those at its edges.
 
@@ -191,50 +275,14 @@ def _pieces(lines: DataFrame, boundary: Column, edges: bool) -> DataFrame:
     every block, a row without lines whose ordinal is the number of runs.
     """
     marked = lines.select(*_BLOCK, "line_id", "line", (~boundary).alias("_word"))
-    names = [c.split()[0] for c in _PIECE.split(", ")]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, block, run, ordinal, opened = _Order(), None, [], 0, False
-        out: list[tuple] = []
-
-        def end_run(closes: bool) -> None:
-            nonlocal run, ordinal
-            if run:
-                opens = opened and ordinal == 0
-                if edges == (opens or closes):
-                    out.append((*block, ordinal, opens, closes, run))
-                run, ordinal = [], ordinal + 1
-
-        def end_block() -> None:
-            if block is not None:
-                end_run(True)
-                if edges:
-                    out.append((*block, ordinal, False, False, None))
-
+        runs = _Runs(edges)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part, start, line_id, word = _numpy(batch, *_BLOCK, "line_id", "_word")
-            fresh = order.check(part, start, line_id)
-            for k, text in enumerate(batch.column("line").to_pylist()):
-                if fresh[k]:
-                    end_block()
-                    block, ordinal, opened = (int(part[k]), int(start[k])), 0, bool(word[k])
-                if word[k]:
-                    run.append(text)
-                else:
-                    end_run(False)
-            if out:
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(names, row, strict=True)) for row in out], schema=arrow)
-                out.clear()
-        end_block()
-        if out:
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(names, row, strict=True)) for row in out], schema=arrow)
-
-    arrow = pa.schema([("part_key", pa.int64()), ("start", pa.int64()), ("ordinal", pa.int64()),
-                       ("opens", pa.bool_()), ("closes", pa.bool_()), ("lines", pa.list_(pa.string()))])
+            if batch.num_rows:
+                yield from runs.add(batch)
+        yield from runs.close()
+
     return marked.mapInArrow(gather, _PIECE)
 
 

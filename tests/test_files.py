@@ -1,14 +1,17 @@
 """Readers, writers and numbering on small files cut at every place."""
 
+import itertools
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from labelkit import functions as L
 from labelkit.operators import (number_file_lines, number_lines, running_offset, sentence_ids,
                                 sentence_lines)
+from labelkit.operators.numbering import _Runs
 from labelkit.plans.bridge import corpus_sentences, rule_annotators
 from labelkit.plans.labelling import label_documents, labelled_documents
 from labelkit.sources import archives, conll, corpus
@@ -210,3 +213,47 @@ def test_labelling_job_does_not_shuffle(spark, sf):
     words = texts.select(F.expr("size(filter(split(text, '\n'), x -> x <> ''))").alias("n"))
     expected = docs.select(F.size(L.ws_tokens(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0]
     assert words.agg(F.sum("n")).first()[0] == expected
+
+
+def _runs_one_by_one(rows):
+    """Runs and their number per block, line by line: rows ``block, line, is_word``."""
+    blocks, runs, totals = {}, [], []
+    for block, line, word in rows:
+        blocks.setdefault(block, []).append(line if word else None)
+    for block, lines in blocks.items():
+        found, at = [], 0
+        for word, group in itertools.groupby(lines, key=lambda x: x is not None):
+            group = list(group)
+            if word:
+                found.append((at == 0, at + len(group) == len(lines), group))
+            at += len(group)
+        runs += [(block, n, *run) for n, run in enumerate(found)]
+        totals.append((block, len(found)))
+    return runs, totals
+
+
+def test_runs_in_batches_of_any_size():
+    rng = random.Random(5)
+    for _ in range(1000):
+        block, share, rows = 0, rng.choice([0, 0.2, 0.5, 0.8, 1]), []
+        for i in range(rng.randint(0, 14)):
+            block += rng.random() < 0.2
+            rows.append((block, f"l{i}", rng.random() < share))
+        runs, totals = [], []
+        for edges in (False, True):
+            cutter, batches, at = _Runs(edges), [], 0
+            while at < len(rows):
+                part = rows[at:at + rng.randint(1, 5)]
+                batches += cutter.add(pa.RecordBatch.from_pydict({
+                    "part_key": [b for b, _, _ in part], "start": [b * 7 for b, _, _ in part],
+                    "line_id": list(range(at, at + len(part))), "line": [t for _, t, _ in part],
+                    "_word": [w for _, _, w in part]}))
+                at += len(part)
+            for r in [r for b in [*batches, *cutter.close()] for r in b.to_pylist()]:
+                assert r["start"] == r["part_key"] * 7
+                if r["lines"] is None:
+                    totals.append((r["part_key"], r["ordinal"]))
+                else:
+                    assert edges == (r["opens"] or r["closes"])
+                    runs.append((r["part_key"], r["ordinal"], r["opens"], r["closes"], r["lines"]))
+        assert (sorted(runs), sorted(totals)) == _runs_one_by_one(rows)
