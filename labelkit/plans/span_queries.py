@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from labelkit import functions as L
 from labelkit.folders import scratch_folder
 from labelkit.operators import (accumulate_metric, add_to_ledger, align_predictions, annotate,
-                                filter_confidence, gazetteer_tag, metric_counts)
+                                filter_confidence, gazetteer_tag, match_tagged, metric_counts)
 from labelkit.operators import collect_votes as votes
 from labelkit.operators import entity_prf_by_type as prf_by_type
 from labelkit.operators import entity_prf_overall as prf_overall
 from labelkit.operators import evaluate_models as evaluate
-from labelkit.operators import match_entities as match
 from labelkit.operators import project_spans as project
 from labelkit.operators import union_eval_splits as eval_union
 from labelkit.operators import vote as vote_rows
@@ -232,16 +231,10 @@ def metric_ledger(spark, sf):
     return accumulate_metric(ledger, by=[]).where(F.col("type").isNotNull()).select("type", "tp", "n_pred", "n_gold")
 
 
-def _entities(df, tags):
-    """Entities of every annotator; ``tags`` gives the tags of one."""
-    voices = F.array(*[F.struct(F.lit(m).alias("model"), L.bio_to_spans(tags(m)).alias("e")) for m in MODELS])
-    return df.select(*KEYS, F.inline(voices)).select(*KEYS, "model", F.inline("e"))
-
-
 def _match(spark, sf, result):
-    sentences = doc_sentences(spark, sf)
-    return match(_entities(sentences, lambda m: model_tags(F.col("words"), m)),
-                 _entities(sentences, lambda _: gold_tags(F.col("words"))), [*KEYS, "model"], result)
+    voices = F.array(*[F.struct(F.lit(m).alias("model"), model_tags(F.col("words"), m).alias("pred"),
+                                gold_tags(F.col("words")).alias("gold")) for m in MODELS])
+    return match_tagged(doc_sentences(spark, sf).select(*KEYS, F.inline(voices)), [*KEYS, "model"], result)
 
 
 _PRED = """(SELECT doc_id, sent_no, model, label AS type, first, last FROM spans)"""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from labelkit import functions as L
 from labelkit.operators import (add_to_ledger, accumulate_metric, align_predictions, entity_prf_by_type,
-                                entity_prf_overall, metric_counts, project_spans, vote)
+                                entity_prf_overall, match_entities, match_tagged, metric_counts,
+                                project_spans, vote)
 
 SPANS = ("sentence_id bigint, model int, ord int, start int, end int, word string, "
          "label string, score double")
@@ -184,3 +185,22 @@ def test_ledger_takes_a_run_once(spark, tmp_path):
     rows = [sorted(map(str, add_to_ledger(c, path).collect()))
             for c in (counts.where("model = 'a'"), counts, counts, counts.withColumn("run", F.lit(2)))]
     assert len(rows[0]) == 2 and len(rows[1]) == 4 and rows[1] == rows[2] and len(rows[3]) == 8
+
+
+def test_matching_in_the_row_equals_the_join(spark):
+    rng = random.Random(11)
+    tags = ["O", "B-p", "I-p", "B-g", "I-g"]
+    rows = [(i, *[[rng.choice(tags) for _ in range(n)] for _ in range(2)]) for i, n in
+            ((i, rng.randint(0, 8)) for i in range(80))]
+    rows += [(80, None, ["B-p"]), (81, ["B-p", "O"], None), (82, ["O", "B-a|b"], ["O", "B-a|b"])]
+    both = spark.createDataFrame(rows, "s int, pred array<string>, gold array<string>")
+    sides = [both.select("s", F.inline(L.bio_to_spans(F.col(c)))) for c in ("pred", "gold")]
+    for result in ("matched", "false_positive", "false_negative"):
+        one = match_tagged(both, ["s"], result)
+        other = match_entities(*sides, ["s"], result)
+        assert one.schema.simpleString() == other.schema.simpleString()
+        assert sorted(one.collect()) == sorted(other.collect()) and one.count()
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    with pytest.raises(ValueError, match="unknown result"):
+        match_tagged(both, ["s"], "all")
