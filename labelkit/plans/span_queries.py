@@ -232,9 +232,9 @@ def metric_ledger(spark, sf):
 
 
 def _match(spark, sf, result):
-    voices = F.array(*[F.struct(F.lit(m).alias("model"), model_tags(F.col("words"), m).alias("pred"),
-                                gold_tags(F.col("words")).alias("gold")) for m in MODELS])
-    return match_tagged(doc_sentences(spark, sf).select(*KEYS, F.inline(voices)), [*KEYS, "model"], result)
+    voices = F.array(*[F.struct(F.lit(m).alias("model"), model_tags(F.col("words"), m).alias("pred")) for m in MODELS])
+    gold = doc_sentences(spark, sf).select(*KEYS, "words", gold_tags(F.col("words")).alias("gold"))
+    return match_tagged(gold.select(*KEYS, "gold", F.inline(voices)), [*KEYS, "model"], result)
 
 
 _PRED = """(SELECT doc_id, sent_no, model, label AS type, first, last FROM spans)"""
