@@ -439,7 +439,7 @@ def _zipped(spark, sf, path):
         page_xml(F.col("text")).alias("text"))
     broken = docs.select("archive").distinct().select(
         "archive", F.lit("broken.xml").alias("member"), F.lit("<PcGts><Page>").alias("text"))
-    archives.write_archives(docs.unionByName(broken), path).write.format("noop").mode("overwrite").save()
+    archives.write_archives(docs.unionByName(broken), path)
     return path
 
 
@@ -458,6 +458,21 @@ def read_archives(spark, sf):
                        L.page_xml_text(F.col("text")).alias("text"))
 
 
+@query("""SELECT archive, doc_id || '.txt' AS member, strlen(text)::BIGINT AS bytes, sha256(text) AS sha,
+    count(*) OVER (PARTITION BY archive) AS listed FROM docs""")
+def zip_members(spark, sf):
+    """Documents written and read as a format; the commit's record says how many each archive got."""
+    path = scratch(spark, "zip-format")
+    files = archives.write_archives(documents(spark, sf).select(
+        F.concat("archive", F.lit(".zip")).alias("archive"),
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), "text"), path)
+    listed = files.groupBy(F.regexp_replace("archive", r"\.zip$", "").alias("archive")).agg(
+        F.sum("members").alias("listed"))
+    return spark.read.format("zip_members").load(path).select(
+        _archive_name("archive").alias("archive"), "member", F.octet_length("text").cast("bigint").alias("bytes"),
+        F.sha2("text", 256).alias("sha")).join(listed, "archive")
+
+
 @query("SELECT archive, doc_id || '.xml' AS member FROM docs WHERE doc_id::VARCHAR LIKE '%1'")
 def read_archives_recursive(spark, sf):
     """Archives found below a folder, members chosen by pattern."""
@@ -510,7 +525,7 @@ def label_archives(spark, sf):
     texts = labelled_documents(labelled, ["archive", "member"]).select(
         F.concat("archive", F.lit(".zip")).alias("archive"), L.output_name(F.col("member")).alias("member"), "text")
     out = scratch(spark, "labelled-zips")
-    archives.write_archives(texts, out).write.format("noop").mode("overwrite").save()
+    archives.write_archives(saved(texts, "labelled-texts"), out)
     back = archives.read_archives(spark, out, member_glob="*.conll")
     tags = tags_of_lines(back.withColumn("archive", _archive_name("archive")))
     return count_tags_total(tags, counted=[f"{b}-{t}" for b in "BI" for t in "pgi"] + ["O"])
