@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from labelkit import functions as L
 from labelkit.functions.text import ABBREVIATIONS
 from labelkit.operators import conll_to_tokens as block_tokens
-from labelkit.operators import filter_blank, filter_min_fields, tags_of_lines
+from labelkit.operators import filter_blank, filter_min_fields, split_by_learned_forms, tags_of_lines
+from labelkit.operators import short_forms as learned_forms
 from labelkit.operators.stats import count_tags, count_tags_total
 from labelkit.plans.bridge import (doc_sentences, doc_tokens, documents, gold_tags, page_xml, region_page_xml,
                                    table, token_type)
@@ -74,6 +75,48 @@ def split_sentences_rule(spark, sf):
         "doc_id", F.posexplode(L.split_sentences(F.col("text"))).alias("sent_no", "sent"))
 
 
+_WORD = r"'^[^\p{L}\p{N}]*(\p{L}+(?:\.\p{L}+)*)(\.?)[^\p{L}\p{N}.]*$'"
+SHORT_FORMS = rf"""SELECT lang, word, n_dot, n_plain, n_inside, score,
+        score >= 10.83 AND n_plain * 9 <= n_dot AND (n_inside * 10 >= n_dot OR length(word) <= 4) AS is_short FROM (
+    SELECT *, CASE WHEN n_dot * al > dots * (n_dot + n_plain) THEN 2 * (n_dot * ln((n_dot / (n_dot + n_plain)) / (dots / al))
+        + CASE WHEN n_plain > 0 THEN n_plain * ln((1 - n_dot / (n_dot + n_plain)) / (1 - dots / al)) ELSE 0 END) ELSE 0 END AS score
+    FROM (SELECT *, sum(n_dot) OVER (PARTITION BY lang) AS dots, sum(n_dot + n_plain) OVER (PARTITION BY lang) AS al FROM (
+        SELECT lang, word, count(*) FILTER (dot) AS n_dot, count(*) FILTER (NOT dot) AS n_plain,
+            count(*) FILTER (dot AND inside) AS n_inside FROM (
+                SELECT lang, lower(regexp_extract(w, {_WORD}, 1)) AS word, regexp_extract(w, {_WORD}, 2) = '.' AS dot,
+                    regexp_matches(after, '^\p{{Ll}}') AS inside FROM (
+                    SELECT lang, unnest(ws) AS w, unnest(list_concat(ws[2:], [''])) AS after FROM (
+                        SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(text, '\s+'),
+                            lambda x: x <> '') AS ws FROM documents)))
+        WHERE word <> '' GROUP BY lang, word)) WHERE n_dot >= 5)"""
+
+
+@query(f"""SELECT lang, word, n_dot, n_plain, n_inside, round(score, 3) AS score, is_short::INT AS is_short
+    FROM ({SHORT_FORMS})""")
+def short_forms(spark, sf):
+    """Words with periods, and which of them are short forms, learned from all documents."""
+    return learned_forms(table(spark, sf, "documents")).select(
+        "lang", "word", "n_dot", "n_plain", "n_inside", F.round("score", 3).alias("score"), F.col("is_short").cast("int"))
+
+
+@query(rf"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS sent_no, sent FROM (
+    SELECT doc_id, g, trim(string_agg(piece, '' ORDER BY i), E' \t\r\n') AS sent FROM (
+        SELECT *, coalesce(sum((NOT stays)::INT) OVER (PARTITION BY doc_id ORDER BY i
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM (
+            SELECT p.*, last <> '' AND (f.word IS NOT NULL OR regexp_matches(last, '^\p{{Lu}}$')) AS stays FROM (
+                SELECT *, regexp_extract(piece, '(^|[^\p{{L}}\p{{N}}.])(\p{{L}}+(?:\.\p{{L}}+)*)\.$', 2) AS last FROM (
+                    SELECT doc_id, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (
+                        SELECT doc_id, coalesce(lang, 'und') AS lang, string_split(regexp_replace(text,
+                            '([.!?…])(\s+\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM documents))) p
+            LEFT JOIN ({SHORT_FORMS}) f ON f.is_short AND f.lang = p.lang AND f.word = lower(p.last)))
+    GROUP BY doc_id, g) WHERE sent <> ''""")
+def split_sentences_learned(spark, sf):
+    """Sentences by the short forms that the documents of each language teach."""
+    docs = table(spark, sf, "documents")
+    return split_by_learned_forms(docs, learned_forms(docs)).select(
+        "doc_id", F.posexplode("sentences").alias("sent_no", "sent"))
+
+
 @query(r"SELECT doc_id, sent_no, pos, regexp_replace(token, '\.$', '') AS token FROM tok")
 def strip_final_period(spark, sf):
     return doc_tokens(spark, sf).select(
