@@ -1,7 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles.
+"""Near-duplicates by SimHash fingerprints, verified by the Jaccard similarity of word shingles.
 
-Candidates share a band of minimum hashes; every link is verified on the whole shingle sets.
-Each block of candidates first meets one leader by pairs; members of blocks that this does not
+Candidates have fingerprints of few differing bits; since pairs at the limit often differ in more,
+those that share a band of minimum hashes are candidates too. Every link is verified on the whole
+shingle sets. Each block of candidates first meets one leader by pairs; members of blocks that this does not
 connect are then compared with each other inside the block. Components are found by star
 contraction.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from labelkit.folders import saved
 from labelkit.llm.common import fresh
-from labelkit.llm.simhash import components
+from labelkit.llm.simhash import components, near_links
 
 # a pair at similarity s shares no band with probability (1 - s**4)**32: 4e-8 at 0.8
 BANDS, ROWS = 32, 4
@@ -58,6 +59,14 @@ def _bands(shingles: np.ndarray) -> np.ndarray:
     return (mixed.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def _fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set, signed: a bit is set where over half of the shingle hashes have it."""
+    bits = np.zeros(64, np.int64)
+    for k in range(0, len(shingles), _CHUNK):
+        bits += np.unpackbits(shingles[k:k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def shingle_key(text: Column, width: int = 5) -> Column:
     @F.pandas_udf("bigint")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -68,15 +77,16 @@ def shingle_key(text: Column, width: int = 5) -> Column:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``doc_id, text`` to ``doc_id, key, bands``; one text's shingles are held at a time."""
+    """Rows ``doc_id, text`` to ``doc_id, key, fp, bands``; one text's shingles are held at a time."""
     for batch in batches:
-        keys, bands = [], []
+        keys, fps, bands = [], [], []
         for text in batch.column(1):
             shingles = shingle_set(text.as_py(), width)
             keys.append(_key(shingles))
+            fps.append(_fingerprint(shingles))
             bands.append(_bands(shingles))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                                         ["doc_id", "key", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(fps, pa.int64()),
+                                          pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "bands"])
 
 
 def _keyed_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -133,26 +143,40 @@ def _block_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa
     yield links()
 
 
-def _grouped(docs: DataFrame, least: float, width: int, doc_id: str, text: str) -> DataFrame:
+def _close_pairs(classes: DataFrame, most_bits: int) -> DataFrame:
+    """Rows ``key, lead`` to be verified: sets of one fingerprint meet one of them, and those stand
+    for their fingerprints where these are linked."""
+    named = saved(classes.groupBy("fp").agg(F.min("key").alias("lead")), "named")
+    same = classes.join(named, "fp").where("key <> lead").select("key", "lead")
+    left, right = (named.select(F.col("fp").alias(end), F.col("lead").alias(name)) for end, name in (("a", "key"), ("b", "lead")))
+    return same.unionByName(near_links(named, most_bits, "fp").join(left, "a").join(right, "b").select("key", "lead"))
+
+
+def _grouped(docs: DataFrame, least: float, width: int, most_bits: int, doc_id: str, text: str) -> DataFrame:
     """``doc_id, key, root`` per row: the key of its shingle set, and the key that names its group."""
     kind = docs.schema[doc_id].dataType.simpleString()
     marked = saved(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        lambda batches: _sketches(batches, width), f"doc_id {kind}, key bigint, bands array<bigint>"), "sketches")
-    classes = saved(marked.groupBy("key").agg(F.first("bands").alias("bands"), F.min(F.struct(
+        lambda batches: _sketches(batches, width), f"doc_id {kind}, key bigint, fp bigint, bands array<bigint>"), "sketches")
+    classes = saved(marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")), "classes")
     blocks = classes.select("key", F.posexplode("bands").alias("no", "band"))
     # another leader in each band, so that a large group has many
     led = blocks.groupBy("no", "band").agg(F.min_by("key", F.xxhash64("key", "no")).alias("lead"),
                                            F.count("*").alias("n")).where("n > 1")
     members = saved(blocks.join(led, ["no", "band"]).select("no", "band", "key", "lead", "n"), "members")
-    # one row for each set that shares a band; ids may repeat, so texts are told by their key
-    wanted = saved(classes.join(members.select("key").distinct(), "key", "left_semi").select(
+    pairs = saved(_close_pairs(classes.where(F.size("bands") > 0), most_bits)
+                  .unionByName(members.where("key <> lead").select("key", "lead")).distinct(), "pairs")
+    # one row for each set that is a candidate; ids may repeat, so texts are told by their key
+    wanted = saved(classes.join(members.select("key").unionAll(pairs.select("key")).unionAll(pairs.select("lead")).distinct(),
+                                "key", "left_semi").select(
         "key", F.col("first.doc_id").alias("_id")), "wanted")
     held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = saved(held.join(wanted, held["doc_id"].eqNullSafe(wanted["_id"])).select("text", "key").mapInArrow(
-        lambda batches: _keyed_sets(batches, width), "key bigint, shingles array<bigint>").dropDuplicates(["key"]), "shingles")
+    sets = held.join(wanted, held["doc_id"].eqNullSafe(wanted["_id"])).select("text", "key").mapInArrow(
+        lambda batches: _keyed_sets(batches, width), "key bigint, shingles array<bigint>")
+    if not marked.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        sets = sets.dropDuplicates(["key"])
+    sets = saved(sets, "shingles")
 
-    pairs = members.where("key <> lead").select("key", "lead").distinct()
     both = (pairs.join(sets.select(F.col("key").alias("lead"), F.col("shingles").alias("x")), "lead")
             .join(sets.withColumnRenamed("shingles", "y"), "key")
             .select("key", "lead", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both")))
@@ -168,29 +192,35 @@ def _grouped(docs: DataFrame, least: float, width: int, doc_id: str, text: str)
               .select("no", "band", "key", "root", "shingles").repartition("no", "band").sortWithinPartitions("no", "band", "key"))
     more = inside.mapInArrow(lambda batches: _block_links(batches, least), "a bigint, b bigint")
     named = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
-    return marked.drop("bands").join(named.withColumnRenamed("node", "key"), "key", "left").select(
+    return marked.drop("fp", "bands").join(named.withColumnRenamed("node", "key"), "key", "left").select(
         "doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
 def drop_overlapping(docs: DataFrame, least: float = 0.8, width: int = 5, doc_id: str = "doc_id",
-                     text: str = "text") -> DataFrame:
+                     text: str = "text", most_bits: int = 3) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id.
 
     Groups are what links of Jaccard similarity ``least`` or more between sets of ``width``-word
-    shingles connect. Null and empty texts are one group. A group without any id keeps one
+    shingles connect; candidates are told by SimHash fingerprints of up to ``most_bits`` differing
+    bits and, for the pairs beyond, by bands of minimum hashes. Null and empty texts are one group. A group without any id keeps one
     of its rows; of rows that repeat id and shingles one stays. An empty table gives an empty
     table.
     """
     key, = fresh(docs, "key")
-    found = saved(_grouped(docs, least, width, doc_id, text), "grouped")
+    found = saved(_grouped(docs, least, width, most_bits, doc_id, text), "grouped")
     keep = found.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("k")).select(
         F.col("k.doc_id").alias("keep_id"), F.col("k.key").alias("keep_key"))
     # texts need hashing again only where an id does not tell the row
     several = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    keep = saved(keep.join(several, keep["keep_id"].eqNullSafe(several["doc_id"])).select("keep_id", "keep_key", "rows"), "kept")
-    one, more = (keep.where(c).drop("rows") for c in ("rows = 1", "rows > 1"))
-    plain = docs.join(one, docs[doc_id].eqNullSafe(one["keep_id"]), "left_semi")
+    known = saved(several.join(keep, several["doc_id"].eqNullSafe(keep["keep_id"]), "left").select(
+        "doc_id", "keep_key", "rows", F.col("keep_key").isNotNull().alias("kept")).withColumnRenamed("doc_id", "keep_id"), "kept")
+    # ids that go are fewer than those that stay: the texts need not be exchanged for them
+    gone = known.where("rows > 1 or not kept").select("keep_id").distinct()
+    plain = docs.join(gone, docs[doc_id].eqNullSafe(gone["keep_id"]), "left_anti")
+    more = known.where("rows > 1 and kept").select("keep_id", "keep_key")
+    if more.isEmpty():
+        return plain
     alike = docs.join(more, docs[doc_id].eqNullSafe(more["keep_id"]), "left_semi").withColumn(key, shingle_key(F.col(text), width))
     told = (alike.join(more, alike[doc_id].eqNullSafe(more["keep_id"]) & (alike[key] == more["keep_key"]), "left_semi")
             .dropDuplicates([doc_id, key]).drop(key))

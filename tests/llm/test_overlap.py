@@ -44,6 +44,15 @@ def test_members_that_miss_their_leader_meet():
     assert links == [(1, 2), (1, 3)]
 
 
+def test_fingerprints_alone_find_near_copies(spark, sf, monkeypatch):
+    texts = [prose(k, 400).split() for k in range(6)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(10 + k, " ".join(t[:-1])) for k, t in enumerate(texts)]
+    no_band = overlap.np.zeros(1, overlap.np.int64)  # of one row each: no block has two members
+    monkeypatch.setattr(overlap, "_bands", lambda shingles: no_band + len(shingles) * 1000 + int(shingles[0] % 997))
+    given = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.deduplicate(spark, given, sf).collect()) == survivors(dict(rows))
+
+
 def test_odd_rows(spark, sf):
     got = corpus_pipeline.deduplicate(spark, spark.createDataFrame(ROWS, DOCS), sf).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 1), (False, 2), (False, 4), (False, 6), (True, 0)]
