@@ -3,7 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from labelkit.functions import group_subword_entities, text
+from labelkit.functions import bio_to_spans, group_subword_entities, text
+from labelkit.operators import match_tagged, metric_counts
 from labelkit.plans import bridge
 
 
@@ -27,3 +28,20 @@ def test_few_pages_are_held(monkeypatch):
     for part in few(iter([pa.array([str(k) for k in range(150)]), pa.array([None], pa.string())])):
         held.append(len(part))
     assert held == [64, 64, 22, 1]
+
+
+def test_entities_of_batches_are_those_of_each_row(spark):
+    tags = [["B-p", "I-p", "O", "B-a|b"], ["I-p", "B-p", "p", "I-i"], ["O", None, "X-O", ""], [], None, ["B-p", None], ["B-p", "I-p", "O"]]
+    rows = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(tags) for j, b in enumerate(tags)],
+                                 "i int, j int, pred array<string>, gold array<string>")
+    sides = rows.select("i", "j", bio_to_spans(F.col("pred")).alias("p"), bio_to_spans(F.col("gold")).alias("g")).collect()
+    found = {(r["i"], r["j"]): [{tuple(e) for e in r[c] or []} for c in "pg"] for r in sides}
+    matched = match_tagged(rows, ["i", "j"])
+    assert "ArrowEvalPython" in matched._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, matched.collect())) == sorted((*k, *e) for k, (p, g) in found.items() for e in p & g)
+    missed = match_tagged(rows, ["i", "j"], "false_negative").collect()
+    assert sorted(map(tuple, missed)) == sorted((*k, *e) for k, (p, g) in found.items() for e in g - p)
+    counts = {(r["i"], r["j"], r["type"]): tuple(r)[3:] for r in metric_counts(rows, ["i", "j"]).collect()}
+    assert counts[0, 6, "p"] == (1, 1, 1, 0, 0) and counts[0, 6, "a|b"] == (0, 1, 0, 0, 0)
+    assert counts[0, 6, None] == (0, 0, 0, 3, 3) and counts[5, 2, None] == (0, 0, 0, 1, 4)
+    assert not any(4 in k[:2] for k in counts)
