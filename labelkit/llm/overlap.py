@@ -187,7 +187,10 @@ def _grouped(docs: DataFrame, least: float, width: int, most_bits: int, doc_id:
     # blocks of two have met; of the others, those of more than one group
     rooted = members.where("n > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
         "no", "band", "key", F.coalesce("root", "key").alias("root"))
-    open_blocks = rooted.groupBy("no", "band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    # and blocks of the same members, as near texts share many bands, meet once
+    members_of = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), "key")).alias(f"h{k}") for k in range(2))]
+    open_blocks = (rooted.groupBy("no", "band").agg(F.min("root").alias("x"), F.max("root").alias("y"), *members_of).where("x <> y")
+                   .groupBy("n", "h0", "h1").agg(F.min(F.struct("no", "band")).alias("b")).select("b.no", "b.band"))
     inside = (rooted.join(open_blocks.select("no", "band"), ["no", "band"], "left_semi").join(sets, "key")
               .select("no", "band", "key", "root", "shingles").repartition("no", "band").sortWithinPartitions("no", "band", "key"))
     more = inside.mapInArrow(lambda batches: _block_links(batches, least), "a bigint, b bigint")
