@@ -26,15 +26,17 @@ _NAME, _NAME_END, _UNIT = "\x02", "\x03", "\x04"
 NAME_RUN = r"([\p{Ll}\p{Nd},;)] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
 UNIT_AFTER = rf"([0-9]) ?((?i:{'|'.join(UNITS)}))([^\p{{L}}]|$)"
 TOKEN = r"\x02[^\x03]*\x03|\x04?[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%€$£]"
+# Java matches a repeated group by recursion, a possessive one in a loop; nothing follows these groups, so both match alike
+_NAME_RUN, _TOKEN = NAME_RUN.replace(")*", ")*+"), TOKEN.replace(")*", ")*+")
 
 
 def template_tokens(text: Column) -> Column:
     """Tokens of a text, slots still with their values: lower case, but for the case marks of
     names ``\\x02...\\x03``; units begin with ``\\x04``, numbers with a digit."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x02\x03\x04]", " ")
-    marked = F.regexp_replace(F.regexp_replace(clean, NAME_RUN, f"$1{_NAME}$2{_NAME_END}"),
+    marked = F.regexp_replace(F.regexp_replace(clean, _NAME_RUN, f"$1{_NAME}$2{_NAME_END}"),
                               UNIT_AFTER, f"$1 {_UNIT}$2$3")
-    return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
 
 def _is_slot(token: Column) -> Column:

@@ -1,8 +1,9 @@
 """Rewritten questions whose values coincide or repeat, in the pipeline's stage."""
 
+from pyspark.sql import functions as F
 from test_llm_edges import DOCS, prose
 
-from labelkit.llm.decontaminate import drop_leaks, find_leaks
+from labelkit.llm.decontaminate import drop_leaks, find_leaks, template_tokens
 
 ITEM = "A shop packs {} boxes and sends {} crates with {} bags on {} carts to {} towns for {} buyers"
 VALUES = {  # the item's, the document's
@@ -29,3 +30,9 @@ def test_an_outvoted_value_costs_its_own_windows(spark):
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     got, = find_leaks(docs, bench, one_to_one=False).collect()
     assert got["matched"] == got["n_windows"] - 4 and got["rewritten"]
+
+
+def test_long_runs_of_names_and_of_groups_of_digits_are_one_token(spark):
+    names, digits = " ".join(["Ab"] * 200_000), ",".join(["1"] * 200_000)
+    rows = spark.createDataFrame([(f"so {names} {digits} end",)], "text string").select(template_tokens(F.col("text")).alias("t"))
+    assert rows.collect()[0]["t"] == ["so", f"\x02{names.lower()}\x03", digits, "end"]
