@@ -324,3 +324,13 @@ def test_stages_take_odd_rows(spark, sf, odd, empty):
             docs = stage(spark, docs, sf)
             assert docs.columns[:5] == odd.columns
             docs.count()
+
+
+def test_every_word_before_is_a_context_of_its_own(spark):
+    """Words that share their last letters are told apart, in the probability of what follows them."""
+    rows = [(k, f"{a}ing {b} " * 30) for k in range(40) for a, b in (("s", "left"), ("r", "right"))]
+    docs = spark.createDataFrame([(1000 + k, t) for k, (_, t) in enumerate(rows)] + [(1, "sing left"), (2, "sing right")],
+                                 "doc_id bigint, text string")
+    for buckets in (1, 8):
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(docs, buckets=buckets).where("doc_id < 3").collect()}
+        assert got[1] > got[2] + 1.5
