@@ -16,7 +16,7 @@ from labelkit.llm.decontaminate import drop_leaks, find_leaks
 from labelkit.llm.licenses import scan_licenses
 from labelkit.llm.mixing import mix_sources, mixing_copies
 from labelkit.llm.quality import clean_lines
-from labelkit.llm.secrets import SecretRule, redact_secrets, scan_secrets
+from labelkit.llm.secrets import RULES, SecretRule, may_match, redact_secrets, scan_secrets
 from labelkit.llm.simhash import drop_near_duplicates, near_duplicates
 from labelkit.llm.warc import assemble, parse_records, read_warc, write_warc
 
@@ -334,3 +334,16 @@ def test_every_word_before_is_a_context_of_its_own(spark):
     for buckets in (1, 8):
         got = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(docs, buckets=buckets).where("doc_id < 3").collect()}
         assert got[1] > got[2] + 1.5
+
+
+def test_texts_without_hints_are_not_exchanged(spark):
+    """The ledger and the findings are whole, but only texts that may hold a secret are sent."""
+    texts = ["plain words " * 50, "PassWord = abcdefgh", "0123456789abcdef01234567", None, "plain words " * 50, "secret"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = docs.select("doc_id", may_match(F.col("text")).alias("may")).collect()
+    assert [r["may"] for r in sorted(rows)] == [False, True, True, False, False, True]
+    found, ledger = scan_secrets(docs)
+    assert ledger.count() == 5 * len(RULES) and found.count() == 6
+    assert {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in found.collect() if r["spans"]} == {1: ["assign"], 2: ["hex"]}
+    free = (*RULES, SecretRule("any", 1, "plain"))
+    assert {r["doc_id"] for r in scan_secrets(docs, rules=free)[0].where("size(spans) > 0").collect()} == {0, 1, 2, 4}
