@@ -257,3 +257,13 @@ def test_runs_in_batches_of_any_size():
                     assert edges == (r["opens"] or r["closes"])
                     runs.append((r["part_key"], r["ordinal"], r["opens"], r["closes"], r["lines"]))
         assert (sorted(runs), sorted(totals)) == _runs_one_by_one(rows)
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """No condition on parsed lines is pushed below, where they would be parsed again."""
+    (tmp_path / "a.csv").write_text('"ID","Word","Lemma","Morphology","Annotation"\n"1","a","a","_","O"\n\n"short"\n\n"2","b","b","_","B-p"\n')
+    back = conll.read_conll(spark, str(tmp_path), "poner_csv")
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    # inside one sentence and across edges: two branches of the plan
+    assert plan.lower().count("csvtostructs") + plan.count("from_csv") == 1, plan
+    assert sorted((r["sentence_id"], r["tokens"], r["tags"]) for r in back.collect()) == [(0, ["a"], ["O"]), (2, ["b"], ["B-p"])]
