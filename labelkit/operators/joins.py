@@ -144,5 +144,12 @@ def align_predictions(predicted: DataFrame, gold: DataFrame,
     """
     sides = gold.select(*keys, F.col("tags").alias("gold")).join(
         predicted.select(*keys, F.col("tags").alias("pred")), list(keys), "left")
-    nothing = F.transform("gold", lambda _: F.lit("O"))
-    return sides.select(*keys, F.coalesce("pred", nothing).alias("pred"), "gold")
+    return align_tagged(sides, keys)
+
+
+def align_tagged(sentences: DataFrame, keys: Sequence[str], pred: str = "pred",
+                 gold: str = "gold") -> DataFrame:
+    """Rows ``keys, pred, gold`` as ``align_predictions`` gives them, where both tag arrays
+    stand in one row: no join, no shuffle. A null ``pred`` counts as all ``O``."""
+    nothing = F.transform(gold, lambda _: F.lit("O"))
+    return sentences.select(*keys, F.coalesce(pred, nothing).alias("pred"), F.col(gold).alias("gold"))

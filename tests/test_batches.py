@@ -1,11 +1,14 @@
 """Functions that work on Arrow batches: annotators' spans and page XML."""
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from labelkit.functions import bio_to_spans, group_subword_entities, text
 from labelkit.operators import match_tagged, metric_counts
 from labelkit.plans import bridge
+from labelkit.plans.queries import QUERIES
 
 
 def test_spans_of_batches_are_those_of_each_row(spark):
@@ -21,6 +24,52 @@ def test_spans_of_batches_are_those_of_each_row(spark):
             assert [tuple(s)[1:] for s in r["s"] or [] if s["model"] == m] == [tuple(p) for p in r["p"] or []]
 
 
+def test_tags_of_batches_are_those_of_each_row(spark):
+    words = [["a", "##b", "žluť", "a"], [], None, ["𝒳y"] * 9, [f"w{k}" for k in range(400)], ["##x", "##x", "##x"]]
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "id int, words array<string>")
+    plain = F.struct(bridge.gold_tags(F.col("words")), *[bridge.model_tags(F.col("words"), m) for m in bridge.MODELS])
+    for r in rows.select(bridge.rule_tags(F.col("words")).alias("t"), plain.alias("p")).collect():
+        assert tuple(r["t"]) == tuple(r["p"])
+
+
+def aligned(rows):
+    """Counts over document rows, each with each that shares its id."""
+    tags, found = {}, []
+    kinds = dict(zip(bridge._DIGITS, bridge._TYPES, strict=True))
+    for row, (_, text, _) in enumerate(rows):
+        for no, sentence in enumerate(text.split(". ") if text else []):
+            digits = [hashlib.md5(w.encode()).hexdigest() for w in sentence.split()]
+            for m in ("gold", *bridge.MODELS):
+                types = [kinds[d[0] if m == "gold" or d[1 + 3 * m] >= "4" else d[2 + 3 * m]] for d in digits]
+                tags[row, no, m] = [t if t == "O" else f"{'I' if i and types[i - 1] == t else 'B'}-{t}" for i, t in enumerate(types)]
+    for (row, no, m), gold in tags.items():
+        key = rows[row][0]
+        for model in bridge.MODELS if m == "gold" and gold else ():
+            said = [tags[r, no, model] for r, (other, _, lang) in enumerate(rows)
+                    if other == key is not None and (model != 1 or lang not in ("de", None))
+                    and tags.get((r, no, model))]
+            for pred in said or [["O"] * len(gold)]:
+                found.append((key, no, model, sum(p == g for p, g in zip(pred, gold)), len(gold)))
+    return sorted(found, key=str)
+
+
+def test_predictions_are_aligned_in_their_row_unless_an_id_is_shared(spark, tmp_path):
+    def of(name, rows):
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr(
+            "*", "'s' AS source").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        df = QUERIES["align_predictions"](spark, f"{tmp_path}/{name}")
+        return sorted(map(tuple, df.collect()), key=str), df._jdf.queryExecution().executedPlan().toString()
+
+    own = [(k, ". ".join(" ".join(f"w{k * j + i}" for i in range(k + j)) for j in range(4)), lang)
+           for k, lang in enumerate(["de", "en", "cs", None, "de", "en"])]
+    odd = [(7, None, "en"), (8, "", "en"), (9, "a b. . \t. c", "de"), (None, "a b. c d e f g", "en"), (None, "d", "de")]
+    shared = [(k, f"{text}. tail {k}", lang) for (k, text, _), lang in zip(own, ["en", "en", "de", "de", "de", None])]
+    found, plan = of("own", own + odd)
+    assert found == aligned(own + odd) and "LeftOuter" not in plan.split("Initial Plan")[0]
+    found, plan = of("shared", own + odd + shared + own[:2])
+    assert found == aligned(own + odd + shared + own[:2]) and "LeftOuter" in plan
+
+
 def test_few_pages_are_held(monkeypatch):
     held = []
     monkeypatch.setattr(text.F, "arrow_udf", lambda of, kind: lambda xml: of)
