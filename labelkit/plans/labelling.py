@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelkit.functions.arrays import let
-from labelkit.functions.spans import VOTE_THRESHOLD, tag_words, vote_spans
-from labelkit.functions.text import (chunk_words, join_tokens, joined_positions,
-                                     split_sentences, ws_tokens)
+from labelkit.functions.spans import VOTE_THRESHOLD
+from labelkit.functions.text import chunk_words, is_blank, join_tokens, split_sentences, ws_tokens
+from labelkit.functions.voting import voted_tags
 
 Annotate = Callable[[DataFrame], DataFrame]
 
@@ -24,9 +24,10 @@ def sentence_rows(docs: DataFrame, text: str = "text",
                   split: Callable[[Column], Column] = split_sentences) -> DataFrame:
     """Documents to rows ``sent_no, words``; sentences without a word are dropped."""
     rest = [c for c in docs.columns if c != text]
+    # told by the text: a condition on the words would be pushed down and have them found twice
     return (docs.select(*rest, F.posexplode(split(F.col(text))).alias("sent_no", "_sentence"))
-            .select(*rest, "sent_no", ws_tokens(F.col("_sentence")).alias("words"))
-            .where(F.size("words") > 0))
+            .where(~is_blank(F.col("_sentence")))
+            .select(*rest, "sent_no", ws_tokens(F.col("_sentence")).alias("words")))
 
 
 def chunk_rows(sentences: DataFrame, limit: int = 512) -> DataFrame:
@@ -40,8 +41,7 @@ def chunk_rows(sentences: DataFrame, limit: int = 512) -> DataFrame:
 
 def tag_chunks(chunks: DataFrame, threshold: float = VOTE_THRESHOLD) -> DataFrame:
     """Chunks with ``spans`` to chunks with the ``tags`` the annotators agree on."""
-    tags = tag_words(joined_positions(F.col("words")), vote_spans(F.col("spans"), threshold))
-    return chunks.withColumn("tags", tags).drop("spans")
+    return chunks.withColumn("tags", voted_tags(F.col("words"), F.col("spans"), threshold)).drop("spans")
 
 
 def label_documents(docs: DataFrame, annotate: Annotate, text: str = "text",

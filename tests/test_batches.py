@@ -1,13 +1,16 @@
 """Functions that work on Arrow batches: annotators' spans and page XML."""
 
 import hashlib
+import random
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from labelkit.functions import bio_to_spans, group_subword_entities, text
+from labelkit.functions import bio_to_spans, group_subword_entities, joined_positions, tag_words, text, vote_spans
+from labelkit.functions.voting import voted_tags
 from labelkit.operators import match_tagged, metric_counts
 from labelkit.plans import bridge
+from labelkit.plans.labelling import label_documents, labelled_tokens
 from labelkit.plans.queries import QUERIES
 
 
@@ -32,6 +35,31 @@ def test_tags_of_batches_are_those_of_each_row(spark):
         assert tuple(r["t"]) == tuple(r["p"])
 
 
+def test_voted_tags_of_batches_are_those_of_each_row(spark):
+    rng, rows = random.Random(7), []
+    for k in range(300):
+        words = [rng.choice(["a", "žluť", "𝒳y", "", "w" * 9]) for _ in range(rng.randrange(12))]
+        spans = [(m, i, rng.randrange(-1, 30), rng.randrange(32), rng.choice(["a", " a\u00a0", "b", "Ž"]), rng.choice("pgi"),
+                  rng.choice([.2, .7, .71, .9])) for m in range(3) for i in range(rng.randrange(9))]
+        rows.append((k, words, rng.sample(spans, len(spans))))
+    rows += [(300, None, []), (301, ["a"], None), (302, ["a", None], [(0, 0, 0, 1, "a", "p", .9)]), (303, [], []),
+             *((304 + i, ["a", "b"], [(0, 0, 0, 1, "a", "p", .9), (1, 0, 2, 3, "b", *odd)])
+               for i, odd in enumerate([("g", None), ("g", float("nan"))]))]
+    df = spark.createDataFrame(rows, "id int, words array<string>, spans array<struct<model: int, ord: int, start: int, end: int, "
+                               "word: string, label: string, score: double>>").repartition(3)
+    plain = tag_words(joined_positions(F.col("words")), vote_spans(F.col("spans")))
+    got = df.select("id", voted_tags(F.col("words"), F.col("spans")).alias("t"), plain.alias("p")).collect()
+    assert len(got) == len(rows) and all(r["t"] == r["p"] for r in got)
+    assert {t for r in got for t in r["t"] or []} >= {"O", "B-p", "I-g"}
+
+
+def test_labelling_votes_in_batches(spark):
+    docs = spark.createDataFrame([(1, "Jan Hus. " * 9), (2, None), (3, " \u00a0"), (4, "x" * 600 + " y")], "doc_id int, text string")
+    tokens = labelled_tokens(label_documents(docs, bridge.rule_annotators), ["doc_id"])
+    assert tokens._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    assert sorted(tokens.groupBy("doc_id").count().collect()) == [(1, 18), (4, 2)]
+
+
 def aligned(rows):
     """Counts over document rows, each with each that shares its id."""
     tags, found = {}, []
