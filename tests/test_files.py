@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelkit import functions as L
+from labelkit.functions.arrays import pack_words, unpack_words
 from labelkit.operators import (number_file_lines, number_lines, running_offset, sentence_ids,
                                 sentence_lines)
+from labelkit.operators.numbering import offset_in_ranges
 from labelkit.operators.numbering import _Runs
 from labelkit.plans.bridge import corpus_sentences, rule_annotators
 from labelkit.plans.labelling import label_documents, labelled_documents
@@ -109,6 +111,46 @@ def test_written_order_and_numbers(spark, tmp_path, sf):
         assert numbers == list(range(len(numbers)))
 
 
+def test_words_are_packed_and_unpacked(spark):
+    rows = [(0, ["a", "b c"]), (1, []), (2, None), (3, [""]), (4, ["a\x1fb"]), (5, [None, "a\x1fb"]), (6, ["a", None]), (7, ["\x1f"]),
+            (8, ["", ""]), (9, ["ž\n", "\t"])]
+    df = spark.createDataFrame(rows, "id int, w array<string>").repartition(3)
+    packed = df.select("id", pack_words(F.col("w")).alias("p"))
+    assert {r["id"] for r in packed.where("p.text IS NOT NULL").collect()} == {0, 3, 8, 9}
+    assert dict(packed.select("id", unpack_words(F.col("p"))).collect()) == dict(rows)
+
+
+def test_offsets_in_ranges_take_one_exchange(spark):
+    rng = random.Random(5)
+    rows = [(scope, i, i // 40, rng.randint(0, 5)) for scope in "ab" for i in rng.sample(range(3000), 700)]
+    df = spark.createDataFrame(rows, "scope string, i bigint, doc bigint, n int").repartition(4)
+    for scope in (["scope"], ["scope", "doc"]):
+        got = offset_in_ranges(df, ["scope"], scope, "i", F.col("n"), shifts=(4, 8))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 0
+        placed = got.withColumn("at", F.spark_partition_id()).collect()
+        assert len(placed) == len(rows)
+        for r in placed:
+            assert r["offset"] == sum(n for s, i, d, n in rows if s == r["scope"] and i < r["i"] and (len(scope) == 1 or d == r["doc"]))
+        order = [(r["scope"], r["i"] >> 4) for r in sorted(placed, key=lambda r: (r["at"], r["scope"], r["i"]))]
+        assert order == sorted(order)
+    with pytest.raises(ValueError):
+        offset_in_ranges(df, ["scope", "doc"], ["scope"], "i", F.col("n"))
+
+
+@pytest.mark.parametrize("layout", ["wiki3", "bsnlp3", "poner_csv"])
+def test_sentences_are_written_in_order_and_numbered_across_blocks(spark, tmp_path, layout):
+    df = spark.range(9000).select(F.lit("c").alias("corpus"), F.lit("train").alias("split"), F.col("id").alias("sentence_id"),
+                                  (F.col("id") / 5000).cast("bigint").alias("doc_id"), F.array(
+        F.concat(F.lit("w"), "id"), F.lit("a\x1fb")).alias("tokens"), F.array(F.lit("O"), F.lit("B-p")).alias("tags")).repartition(5)
+    path = str(tmp_path / layout)
+    conll.write_conll(df, path, layout, number_scope=["corpus", "split", "doc_id"] if layout == "bsnlp3" else None)
+    back = conll.read_conll(spark, path, layout).orderBy("sentence_id").collect()
+    base = 1 if layout == "poner_csv" else 0
+    assert [list(r["tokens"]) for r in back] == [[f"w{k}", "a\x1fb"] for k in range(9000)]
+    assert [r["numbers"][0] - base for r in back] == [2 * (k % 5000 if layout == "bsnlp3" else k) for k in range(9000)]
+
+
 def test_cnec_lines(spark, tmp_path):
     (tmp_path / "train.conll").write_text("a\tl\tm\tB-P\nb\tx\n\nc\tl\tm\tB-a-b\textra\n")
     lines = conll.convert_cnec_lines(conll.read_lines(spark, str(tmp_path)),
