@@ -1,7 +1,4 @@
-"""Vote and tagging of words over whole Arrow batches.
-
-The same rules as ``vote_spans`` and ``tag_words``, which work row by row in built-ins.
-"""
+"""Vote, tagging of words and merging of pieces over whole Arrow batches."""
 
 from __future__ import annotations
 
@@ -58,7 +55,7 @@ class _Votes:
         self.word = trimmed[words.indices.to_numpy(zero_copy_only=False)]
 
     def agreed(self) -> tuple[np.ndarray, ...]:
-        """``row, start, end, label, best score, threshold-free`` of voted-on spans in order of first appearance."""
+        """``row, start, end, label, votes, score`` of voted-on spans in order of first appearance."""
         order = np.lexsort((self.score, self.label, self.ord, self.model, self.word, self.end, self.start, self.row))
         row, start, end, word, model, number, label, score = (
             x[order] for x in (self.row, self.start, self.end, self.word, self.model, self.ord, self.label, self.score))
@@ -118,3 +115,49 @@ def voted_tags(words: Column, spans: Column, threshold: float = VOTE_THRESHOLD)
 
     return F.coalesce(F.arrow_udf(of, "array<string>")(words, spans),
                       tag_words(joined_positions(words), vote_spans(spans, threshold)))
+
+
+def _merged(pieces: pa.Array) -> pa.Array:
+    """Entities of a batch of piece arrays; a null label counts as ``O``, a null array gives null."""
+    sizes, values = _sizes(pieces), pieces.flatten()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    fields = dict(zip([f.name for f in values.type], values.flatten(), strict=True))
+    coded = pc.dictionary_encode(pc.fill_null(fields["label"], "O"))
+    labels, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    types: dict[str, int] = {}
+    kind = np.array([-1 if t == "O" else types.setdefault(t[2:] if t[1:2] == "-" else t, len(types)) for t in labels], np.int64)[code]
+    begins = np.array([t.startswith("B-") for t in labels], bool)[code]
+    cut = np.ones(len(kind) + 1, bool)  # between a piece and the one before it
+    cut[1:-1] = (row[1:] != row[:-1]) | begins[1:] | (kind[1:] != kind[:-1])
+    first, last = (np.nonzero(c & (kind >= 0))[0] for c in (cut[:-1], cut[1:]))
+    run = (np.cumsum(cut[:-1]) - 1)[first]
+    scores = pc.fill_null(fields["score"], 0).to_numpy(zero_copy_only=False).astype(np.float64)
+    of = np.cumsum(cut[:-1]) - 1
+    # added up from the left, one by one
+    score = np.bincount(of, scores, minlength=1)[run] / (last - first + 1)
+    unknown = np.bincount(of[fields["score"].is_null().to_numpy(zero_copy_only=False)], minlength=of.max(initial=0) + 1)[run] > 0
+    named = (kind >= 0) & ~fields["piece"].is_null().to_numpy(zero_copy_only=False)
+    held = np.append(0, np.cumsum(named))
+    inside = fields["piece"].filter(pa.array(named))
+    offsets = np.append(held[first], held[last[-1] + 1] if len(last) else 0)
+    word = pc.replace_substring(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inside), " "), " ##", "")
+    found = pa.StructArray.from_arrays(
+        [fields["start"].take(pa.array(first)).cast(pa.int32()), fields["end"].take(pa.array(last)).cast(pa.int32()),
+         pa.array(list(types), pa.string()).take(pa.array(kind[first])), pa.array(score, pa.float64(), mask=unknown), word],
+        ["start", "end", "label", "score", "word"])
+    ends = np.append(0, np.cumsum(np.bincount(row[first], minlength=len(sizes))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, mask=pieces.is_null())
+
+
+def group_subword_entities(pieces: Column) -> Column:
+    """Runs of one entity merged: ``array<struct<start, end, label, score, word>>``.
+
+    ``pieces`` holds ``struct<label, score, start, end, piece>``, places being ints. A group opens at
+    ``B-`` or where the type changes; ``O`` is dropped; the score is the mean;
+    pieces are joined by blanks, ``##`` rests without one. Found batch by batch.
+    """
+
+    def of(pieces: pa.Array) -> pa.Array:
+        return _merged(pieces)
+
+    return F.arrow_udf(of, "array<struct<start: int, end: int, label: string, score: double, word: string>>")(pieces)

@@ -12,6 +12,7 @@ from labelkit.operators import match_tagged, metric_counts
 from labelkit.plans import bridge
 from labelkit.plans.labelling import label_documents, labelled_tokens
 from labelkit.plans.queries import QUERIES
+from labelkit.plans.span_queries import _predicted
 
 
 def test_spans_of_batches_are_those_of_each_row(spark):
@@ -60,6 +61,66 @@ def test_labelling_votes_in_batches(spark):
     assert sorted(tokens.groupBy("doc_id").count().collect()) == [(1, 18), (4, 2)]
 
 
+def merged(pieces):
+    """Entities of one array of pieces, restated in plain Python."""
+    found, before = [], "O"
+    for label, score, start, end, piece in pieces:
+        label = label or "O"
+        kind = label[2:] if label[1:2] == "-" else label
+        if label != "O":
+            if label.startswith("B-") or before == "O" or kind != (before[2:] if before[1:2] == "-" else before):
+                found.append([start, end, kind, [], []])
+            found[-1][1] = end
+            found[-1][3].append(score)
+            found[-1][4].append(piece)
+        before = label
+    return [(a, e, k, None if None in sc else round(sum(sc) / len(sc), 9), " ".join(p for p in ps if p is not None).replace(" ##", ""))
+            for a, e, k, sc, ps in found]
+
+
+def test_pieces_of_batches_are_merged_as_in_each_row(spark, sf):
+    rng = random.Random(3)
+    rows = [(k, [(rng.choice(["O", "B-p", "I-p", "g", "I-O", None]), rng.choice([.1, .7, None]), i, i + 1,
+                  rng.choice(["a", "##b", "ž", None])) for i in range(rng.randrange(9))]) for k in range(200)] + [(200, None), (201, [])]
+    df = spark.createDataFrame(rows, "id int, p array<struct<label: string, score: double, start: int, end: int, piece: string>>").repartition(3)
+    got = {r["id"]: r["g"] for r in df.select("id", group_subword_entities(F.col("p")).alias("g")).collect()}
+    assert got.pop(200) is None
+    for k, g in got.items():
+        assert [(*s[:3], s[3] and round(s[3], 9), s[4]) for s in g] == merged(rows[k][1])
+    plan = QUERIES["group_subword_entities"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
+
+
+def test_spans_are_projected_in_their_row_unless_an_id_is_shared(spark, tmp_path):
+    text = "Jan Hus a b c d e f. Praha g h i j k. " * 4
+    def of(name, rows):
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr(
+            "*", "'s' AS source").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        df = QUERIES["project_spans"](spark, f"{tmp_path}/{name}")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan, {k: sorted(map(str, g)) for k, g in _by_first(df.collect()).items()}
+
+    plan, alone = of("own", [(1, text, "cs"), (2, text + "x y", "cs"), (None, text, "cs"), (3, None, "cs"), (4, "", None)])
+    assert set(alone) == {1, 2, None} and plan.count("BroadcastHashJoin") >= 1
+    assert any("-p" in t or "-g" in t or "-i" in t for t in alone[1]) and not any("-" in t for t in alone[None])
+    rows = QUERIES["project_spans_in_rows"](spark, f"{tmp_path}/own").where("doc_id IS NOT NULL").collect()
+    assert {k: sorted(map(str, g)) for k, g in _by_first(rows).items()} == {k: alone[k] for k in (1, 2)}
+    _, twice = of("twice", [(1, text, "cs"), (1, "Brno l m n o p q", "cs"), (2, text + "x y", "cs")])
+    assert len(twice[1]) > len(alone[1]) and twice[2] == alone[2]
+
+
+def _by_first(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r[0], []).append(tuple(r[1:]))
+    return found
+
+
+def test_ledger_runs_find_tags_in_batches(spark, sf):
+    plan = _predicted(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5(" not in plan
+
+
 def aligned(rows):
     """Counts over document rows, each with each that shares its id."""
     tags, found = {}, []
