@@ -151,6 +151,23 @@ def test_sentences_are_written_in_order_and_numbered_across_blocks(spark, tmp_pa
     assert [r["numbers"][0] - base for r in back] == [2 * (k % 5000 if layout == "bsnlp3" else k) for k in range(9000)]
 
 
+def test_lines_are_parsed_in_batches(spark, tmp_path):
+    (tmp_path / "train.conll").write_text("1\ta\tB-p\u00a0\textra\n2\tshort\n 3\t\t\n\nonly\n\n4\tž\tO\n")
+    back = conll.read_conll(spark, str(tmp_path), "wiki3")
+    assert "ArrowEvalPython" in back._jdf.queryExecution().executedPlan().toString()
+    rows = [(r["sentence_id"], r["tokens"], r["tags"], r["numbers"]) for r in back.orderBy("sentence_id").collect()]
+    assert rows == [(0, ["a", ""], ["B-p", ""], [1, 3]), (2, ["ž"], ["O"], [4])]
+
+
+def test_compressed_files_are_read_back(spark, tmp_path):
+    df = spark.range(50).select(F.lit("train").alias("split"), F.col("id").alias("sentence_id"), F.array(F.lit("a"), F.lit("b")).alias("tokens"),
+                                F.array(F.lit("O"), F.lit("B-p")).alias("tags"))
+    conll.write_conll(df, str(tmp_path / "gz"), "med10", ["split"], compression="gzip")
+    assert list((tmp_path / "gz/split=train").glob("part-*.txt.gz"))
+    back = conll.read_conll(spark, str(tmp_path / "gz"), "med10").orderBy("sentence_id").collect()
+    assert [(r["tokens"], r["tags"], r["numbers"]) for r in back] == [(["a", "b"], ["O", "B-p"], [2 * k, 2 * k + 1]) for k in range(50)]
+
+
 def test_cnec_lines(spark, tmp_path):
     (tmp_path / "train.conll").write_text("a\tl\tm\tB-P\nb\tx\n\nc\tl\tm\tB-a-b\textra\n")
     lines = conll.convert_cnec_lines(conll.read_lines(spark, str(tmp_path)),
